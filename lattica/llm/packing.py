@@ -131,21 +131,42 @@ def _relieve(sizes: np.ndarray, part: np.ndarray, load: np.ndarray, capacity: in
             return False
 
 
+def _overflow(sizes: np.ndarray, part: np.ndarray, load: np.ndarray, capacity: int) -> np.ndarray:
+    """Takes out of each window over capacity the smallest items that bring it below, and puts them where they fit best, else into windows of their own."""
+    out: list[int] = []
+    for w in np.flatnonzero(load > capacity).tolist():
+        while load[w] > capacity:
+            inside = np.flatnonzero(part == w)
+            enough = inside[sizes[inside] >= load[w] - capacity]
+            i = int(enough[np.argmin(sizes[enough])] if len(enough) else inside[np.argmax(sizes[inside])])
+            part[i] = -1
+            load[w] -= sizes[i]
+            out.append(i)
+    loads = load.tolist()
+    for i in sorted(out, key=lambda i: -sizes[i]):
+        size = int(sizes[i])
+        room = [(capacity - x - size, w) for w, x in enumerate(loads) if x + size <= capacity]
+        if room:
+            part[i] = min(room)[1]
+            loads[part[i]] += size
+        else:
+            part[i] = len(loads)
+            loads.append(size)
+    return part
+
+
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The window of each item, none of which is larger than capacity; no window is filled beyond it.
 
-    Differencing gives near-equal windows, beginning with as few as could hold the sum. Where some exceed
-    the capacity and no exchange with a window that has room helps, the number of windows rises by one.
+    Differencing gives near-equal windows, as few as could hold the sum. Where some exceed the capacity,
+    items are exchanged with windows that have room; where that doesn't help, the number of windows rises.
     """
     if not len(sizes):
         return np.zeros(0, dtype=np.int64)
     k = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
-        part = differencing(sizes, k)
-        load = np.bincount(part, weights=sizes, minlength=k).astype(np.int64)
-        if _relieve(sizes, part, load, capacity):
-            return part
-        k += 1
+    part = differencing(sizes, k)
+    load = np.bincount(part, weights=sizes, minlength=k).astype(np.int64)
+    return part if _relieve(sizes, part, load, capacity) else _overflow(sizes, part, load, capacity)
 
 
 def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
@@ -164,6 +185,7 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     leaves at most its last window partly empty: a loss of well under one window in a hundred.
     """
     item = sizes.select("item", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size")).where("item is not null").groupBy("item").agg(F.max("size").alias("size"))
+    item = settle(item)
     kinds = windows.select("window_name", F.col("capacity").cast("long").alias("capacity")).where("window_name is not null and capacity > 0").distinct().limit(MOST_WINDOWS + 1).collect()
     if len(kinds) > MOST_WINDOWS:
         raise ValueError(f"windows are parameters, at most {MOST_WINDOWS} of them")
