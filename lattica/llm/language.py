@@ -80,17 +80,16 @@ class TextModel:
 def fit(documents: DataFrame, sample_documents: int = 4000, longest_chars: int = 50_000) -> TextModel:
     """A text model from a bounded sample of labelled rows (doc_id, text, label).
 
-    The sample is the sample_documents labelled texts, of up to longest_chars characters, that come first
-    in the order of a hash of their id, so the model's cost doesn't grow with the data; wrong labels
-    among them only blur the counts. Everything after the fit covers all rows and whole texts.
+    The sample is about sample_documents labelled texts, of up to longest_chars characters: those whose
+    hash of the id falls below the share that gives so many (never more than twice as many), so what
+    reaches the driver doesn't grow with the data; wrong labels among them only blur the counts.
+    Everything after the fit covers all rows and whole texts.
     """
-    rows = (
-        documents.select("doc_id", "text", label_language(F.col("label")).alias("l"))
-        .where((F.length("text") <= longest_chars) & F.col("l").isNotNull())
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_documents)
-        .collect()
-    )
+    language = label_language(F.col("label"))
+    labelled = documents.where(language.isNotNull()).select(F.count("*").alias("n")).first()["n"]
+    share = min(1.0, sample_documents / max(1, labelled))
+    below = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+    rows = documents.where(language.isNotNull() & below & (F.length("text") <= longest_chars)).select("text", language.alias("l")).limit(2 * sample_documents).collect()
     counts = [Counter() for _ in CODES]
     for r in rows:
         counts[CODES.index(r["l"])].update(t for t in tokens(r["text"]) if not is_end(t))
