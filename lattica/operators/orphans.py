@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.session import settle
+
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """References without a target that is there when they are made.
@@ -21,27 +23,30 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     Method: the distinct keys referred to are held against the distinct parent keys by a left anti-join;
     keys that exist go through a sweep over time that adds up arrivals and removals of their parents. The
     sweep carries sums from day to day, so even a key with a third of all rows is only sorted day by day.
+    The references, judged ones and changes are settled, as each is used several times.
     """
     r = refs.select(F.col("ref_id").alias("i"), F.col("target").alias("t"), F.col("key").alias("k"), F.col("at").cast("timestamp_ntz").alias("x")).where("t is not null and k is not null")
+    r = settle(r)
     p = parents.select(F.col("target").alias("t"), F.col("key").alias("k"), F.col("added_at").cast("timestamp_ntz").alias("a"), F.col("removed_at").cast("timestamp_ntz").alias("z")).where("t is not null and k is not null")
     keys = p.groupBy("t", "k").agg(F.max("a").alias("last_added"))
     wanted = r.select("t", "k").distinct()
     missing = wanted.join(keys, ["t", "k"], "left_anti").withColumn("last_added", F.lit(None).cast("timestamp_ntz")).withColumn("gone", F.lit(True))
     known = wanted.join(keys, ["t", "k"]).withColumn("gone", F.lit(False))
-    judged = r.join(missing.unionByName(known), ["t", "k"])
+    judged = settle(r.join(missing.unionByName(known), ["t", "k"]))
     none = judged.where("gone").select("i", "t", "x", F.lit("missing").alias("reason"))
 
     day = F.date_trunc("day", F.col("x")).alias("day")
     change = F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct(F.col("z").alias("x"), F.lit(-1).alias("d"))))
     changes = (
         p.where("a is not null and (z is null or a < z)")
-        .join(wanted, ["t", "k"], "left_semi")
+        .join(judged.select("t", "k").distinct(), ["t", "k"], "left_semi")
         .select("t", "k", change.alias("e"))
         .select("t", "k", "e.x", "e.d")
         .where("x is not null")
         .groupBy("t", "k", "x")
         .agg(F.sum("d").alias("d"))
     )
+    changes = settle(changes)
     probes = judged.where("not gone and x is not null").select("t", "k", "x", F.lit(0).cast("long").alias("d"), "i", "last_added")
     events = changes.withColumn("i", F.lit(None).cast(r.schema["i"].dataType)).withColumn("last_added", F.lit(None).cast("timestamp_ntz")).unionByName(probes).select("*", day)
     by_key = Window.partitionBy("t", "k").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
