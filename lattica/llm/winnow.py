@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import settle
+from lattica.session import settle, small_side
 
 _INLINE = re.compile(r"</?(?:a|b|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -27,6 +27,8 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter of test fingerprints that every task gets: its size never depends on the data.
 FILTER_BITS = 1 << 22
+#: Candidate documents whose ids are broadcast, if counted to be no more, to fetch their texts.
+MOST_KEYS = 500_000
 
 
 def words(text: str | None) -> list[str]:
@@ -170,8 +172,10 @@ def leaks(items: DataFrame, documents: DataFrame, *, run: int = 8, least_words:
     fingerprint, so each shared run of `run` words shares at least one, at either end. Documents' fingerprints
     pass a filter of fixed size, then meet the items' in a join; pairs that share fewer fingerprints than
     any leak must are left out; the rest is extended word by word over the whole texts.
-    Scale: texts are read twice and never shuffled but those of documents with a candidate pair. The filter
-    is 512 KB whatever the items' number; beyond what it can tell, the join does. Phrases common to many
+    Scale: texts are read twice; the second time those without a candidate pair are left out before the
+    shuffle, by a broadcast of the candidates' ids where they are counted to be at most MOST_KEYS (beyond
+    that the ids meet in a shuffled join, for which Spark builds a Bloom filter by itself on large inputs).
+    The filter of fingerprints is 512 KB whatever the items' number; beyond what it can tell, the join does. Phrases common to many
     documents and items only make more pairs, which are counted before any text is fetched.
     """
     window = run - k + 1
@@ -186,7 +190,9 @@ def leaks(items: DataFrame, documents: DataFrame, *, run: int = 8, least_words:
         .select("item_id", "doc_id")
     )
     pairs = settle(pairs)
-    texts = documents.select("doc_id", F.col("text").alias("doc_text")).where("doc_text is not null").join(pairs, "doc_id").join(items.where("text is not null"), "item_id")
+    wanted = small_side(pairs.select("doc_id").distinct(), MOST_KEYS)
+    held = documents.select("doc_id", F.col("text").alias("doc_text")).where("doc_text is not null").join(wanted, "doc_id", "left_semi")
+    texts = held.join(pairs.join(items.where("text is not null"), "item_id"), "doc_id")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher()
