@@ -226,6 +226,21 @@ FROM {_last('/Quality', "nullif(v, '')")} q FULL JOIN {_last('/ItemLevel', _WHOL
 FULL JOIN {_last('/Weight', 'round(num * 1000)::BIGINT')} w USING (asset_id) FULL JOIN {_last('/Tradable', _FLAG)} t USING (asset_id) FULL JOIN {_last('/Durability', _WHOLE)} u USING (asset_id)
 """
 
+_P6 = r"""
+WITH RECURSIVE d AS (SELECT DISTINCT asset_id, ltrim(doc, chr(65279)) doc, read_at FROM asset_docs WHERE doc IS NOT NULL),
+u AS (SELECT asset_id, read_at, CASE WHEN starts_with(doc, '"') AND json_valid(doc) THEN ltrim(json_extract_string(doc, '$'), chr(65279)) ELSE doc END doc FROM d),
+n AS (SELECT asset_id, read_at, regexp_replace(doc, '([:\[,]\s*)(NaN|-?Infinity)', '\1null', 'g') doc FROM u),
+l AS (SELECT asset_id, arg_max(doc, (read_at, doc)) doc FROM n WHERE json_valid(doc) AND json_type(doc) = 'OBJECT' GROUP BY 1),
+t AS (SELECT asset_id, doc::JSON node, '' pointer, '' nearest, '' parent, '' path, false el FROM l
+ UNION ALL SELECT * FROM (
+  SELECT asset_id, json_extract(node, '$."' || k || '"') node, pointer || '/' || replace(replace(k, '~', '~0'), '/', '~1') pointer, nearest, parent, path || '/' || replace(replace(k, '~', '~0'), '/', '~1') path, false el
+  FROM (SELECT *, unnest(json_keys(node)) k FROM t WHERE json_type(node) = 'OBJECT') WHERE NOT starts_with(k, '$')
+  UNION ALL
+  SELECT asset_id, e, pointer || '/' || (i - 1), CASE WHEN json_type(e) = 'OBJECT' THEN pointer || '/' || (i - 1) ELSE nearest END, nearest, path || '/*', json_type(e) = 'OBJECT'
+  FROM (SELECT *, unnest(node::JSON[]) e, generate_subscripts(node::JSON[], 1) i FROM t WHERE json_type(node) = 'ARRAY'))),
+x AS (SELECT asset_id, pointer element_pointer, parent parent_pointer, path schema_path FROM t WHERE el)
+"""
+
 ORACLE = {
     "p1_found": _P1 + "SELECT v snapshot_no, p pack_id, k path, change FROM b WHERE change IS NOT NULL",
     "p1_counts": _P1 + "SELECT v snapshot_no, p pack_id, change, count(*) n FROM b WHERE change IS NOT NULL GROUP BY ALL",
@@ -241,4 +256,6 @@ WHERE i.asset_id IS NULL OR a.h <> i.h OR ((a.h IS NULL OR i.h IS NULL) AND a.e
     "p4_found": _P4 + "SELECT * FROM o",
     "p4_report": _P4 + "SELECT target_table, period, reason, count(*) n FROM o GROUP BY ALL",
     "p5_found": _P5,
+    "p6_found": _P6 + "SELECT asset_id, element_pointer, parent_pointer FROM x",
+    "p6_tables": _P6 + "SELECT schema_path, count(*) n_rows, count(DISTINCT asset_id) n_assets FROM x GROUP BY 1",
 }
