@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lattica.session import settle
 
-#: Parts packed together in one task; windows are near full from a few hundred parts on.
-PER_SHARD = 512
+#: Windows filled, and parts packed, together in one task at least, about: each shard may leave a window partly empty.
+PER_SHARD, LEAST_PARTS = 200, 512
 #: Shares of the smallest items held back from differencing, to fill gaps; the best one is taken shard by shard.
 HELD_BACK = (0.0, 0.03, 0.2)
 #: Kinds of windows that one call fills.
@@ -201,8 +201,8 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     or non-positive capacity is no window, and more than MOST_WINDOWS windows are refused, since windows are
     parameters; empty tables yield no rows. Other columns are not read.
 
-    Method and scale: parts are dealt at random into shards of about PER_SHARD, each of which is packed on
-    its own by multiway differencing, so no task holds more, and only (item, size) is shuffled. Each shard
+    Method and scale: parts are dealt at random into shards that fill about PER_SHARD windows, each of which
+    is packed on its own by multiway differencing, so no task holds more, and only (item, size) is shuffled. Each shard
     leaves at most its last window partly empty: a loss of well under one window in a hundred.
     """
     item = sizes.select("item", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size")).where("item is not null").groupBy("item").agg(F.max("size").alias("size"))
@@ -218,7 +218,11 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
         .select("window_name", "capacity", "item", "part", (F.col("part") * F.col("capacity")).alias("start"), F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).alias("size"))
     )
     parts = settle(parts)
-    shards = max(1, round(parts.count() / PER_SHARD / max(1, len(kinds))))
+    # as many shards of each kind as leave PER_SHARD windows and LEAST_PARTS parts to each; one row a kind of window is read
+    needed = parts.groupBy("window_name", "capacity").agg(F.sum("size").alias("total"), F.count("*").alias("parts")).collect()
+    shards = F.lit(1)
+    for r in needed:
+        shards = F.when((F.col("window_name") == r["window_name"]) & (F.col("capacity") == r["capacity"]), max(1, round(min(r["total"] / r["capacity"] / PER_SHARD, r["parts"] / LEAST_PARTS)))).otherwise(shards)
     kind = sizes.schema["item"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,8 +238,8 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
         return pdf[["window_name", "window_no", "item", "part", "start", "size"]]
 
     packed = (
-        parts.withColumn("shard", F.pmod(F.xxhash64("item", "part"), F.lit(shards)))
-        .groupBy("window_name", "shard")
+        parts.withColumn("shard", F.pmod(F.xxhash64("item", "part"), shards))
+        .groupBy("window_name", "capacity", "shard")
         .applyInPandas(run, f"window_name string, window_no long, item {kind}, part int, start long, size long")
     )
     nothing = cut.where("size <= 0").select("window_name", F.lit(None).cast("long").alias("window_no"), "item", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("size"))
