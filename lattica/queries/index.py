@@ -86,11 +86,10 @@ def win06_last_wins(spark, d):
 
 @query("WITH s AS (SELECT DISTINCT snapshot_no, logical_id, type, max(path) OVER (PARTITION BY snapshot_no, logical_id, type) path FROM asset_snapshots WHERE snapshot_no IN (5, 6) AND type IS NOT NULL) SELECT logical_id, type, max(CASE WHEN snapshot_no = 5 THEN path END) first_path, max_by(path, snapshot_no) last_path FROM s GROUP BY ALL")
 def snk02_upsert(spark, d):
-    """Two deliveries merged: one column keeps the first value, one takes the last."""
+    """All deliveries merged in the order of snapshot_no: one column keeps the first value, one takes the last. The SQL holds for snapshots 5 and 6 only."""
     (s,) = _t(spark, d, "asset_snapshots")
-    s = s.where("type is not null").groupBy("snapshot_no", "logical_id", "type").agg(F.max("path").alias("path"))
-    one = lambda n: s.where(F.col("snapshot_no") == n).select("logical_id", "type", (F.col("path") if n == 5 else F.lit(None).cast("string")).alias("first_path"), F.col("path").alias("last_path"))
-    return graph.upsert(one(5), one(6), ["logical_id", "type"], {"first_path": "first", "last_path": "last"})
+    s = s.groupBy("snapshot_no", "logical_id", "type").agg(F.max("path").alias("first_path")).withColumn("last_path", F.col("first_path"))
+    return graph.merged(s, ["logical_id", "type"], "snapshot_no", {"first_path": "first", "last_path": "last"})
 
 
 # --- edges ---------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 import re
 import unicodedata
 
-from lattica.queries import answers
+from lattica.queries import answers, index
 
 
 def write(df, folder, name):
@@ -24,3 +24,14 @@ def test_matches_reads_all_locales(spark, tmp_path):
     assert {locale for _, locale, _ in expected} == {"en-US", "pt-BR", "fr-FR", "ru-RU", "zh-CN", "xx-XX", "it-IT"}
     got = answers.fts05_matches(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_upsert_merges_all_deliveries(spark, tmp_path):
+    rows = [(1, "a", "T", "a1"), (5, "a", "T", "a5"), (6, "a", "T", "a6"), (2, "gone", "T", "g2"), (3, "gone", "T", "g3"), (6, "new", "T", "n6"), (4, "x", None, "x4"), (9, "x", None, "x9"), (9, "x", None, "x8"), (9, "x", "T", "t9"), (10, "a", "T", "a10")]
+    write(spark.createDataFrame(rows + rows[:1], "snapshot_no int, logical_id string, type string, path string"), tmp_path, "asset_snapshots")
+    expected = {}
+    for _, name, kind, _ in rows:
+        last = {n: p for n, i, t, p in sorted(rows, key=lambda r: (r[0], r[3])) if (i, t) == (name, kind)}
+        expected[name, kind] = (last[min(last)], last[max(last)])
+    got = {(r.logical_id, r.type): (r.first_path, r.last_path) for r in index.snk02_upsert(spark, str(tmp_path)).collect()}
+    assert got == expected and got["x", None] == ("x4", "x9") and got["gone", "T"] == ("g2", "g3") and got["a", "T"] == ("a1", "a10")
