@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
+from lattica.session import settle
 
 LEVELS = 4
 LONGEST_RUN = 3
+SHORTEST_BEGIN = T.SHORTEST_STEM - 1
 K1, B = 1.2, 0.75
 
 
@@ -107,11 +109,76 @@ def search(docs: DataFrame, query: str, limit: int = 20, kind: str | None = None
     best = found.withColumn("_n", F.row_number().over(per)).where("_n = 1")
     top = best.orderBy(T.is_scaffolding(F.col("logical_id")), "level", F.col("locale") == "", F.desc("score"), "logical_id", "type").limit(max(10 * limit, 100))
     rows = [r.asDict() for r in top.select("logical_id", "type", "level", "score").collect()]
-    out = interleave(rows, lambda r: r["logical_id"].split("_")[0] if r["logical_id"].find("_") > 0 else r["logical_id"])[:limit]
+    out = interleave(rows, _family)[:limit]
     data = [(i, r["logical_id"], r["type"], r["level"], r["score"]) for i, r in enumerate(out)]
     return docs.sparkSession.createDataFrame(data, "rank int, logical_id string, type string, level int, score double")
 
 
+def _family(r: dict) -> str:
+    return r["logical_id"].split("_")[0] if r["logical_id"].find("_") > 0 else r["logical_id"]
+
+
+def matches_batch(docs: DataFrame, columns: list[str], queries: DataFrame) -> DataFrame:
+    """matches for all rows of queries (query, text) at once: docs' columns with query, level and score, a row for each query and row of docs that holds all its terms.
+
+    The queries' terms meet the words of the postings by their first letters, and the rows that hold a query's rarest
+    term are looked up for its others. Queries of the same words are answered once.
+    """
+    words = F.concat(*[T.terms(F.coalesce(F.col(c), F.lit(""))) for c in columns])
+    d = settle(docs.withColumn("_words", words).withColumn("_size", F.size("_words")).withColumn("_doc", F.monotonically_increasing_id()))
+    stats = d.agg(F.count("*").alias("n"), F.avg("_size").alias("avg")).first()
+    counts = postings(d.select("_doc", "_size", *columns), ["_doc", "_size"], columns).groupBy("_doc", "_size", F.col("term").alias("word")).agg(F.count("*").alias("n"))
+    counts = settle(counts)
+
+    phrases = F.split(F.regexp_replace(F.array_join(T.terms(F.col("text")), "\n"), "([㐀-鿿])\n(?=[㐀-鿿])", "$1 "), "\n")
+    asked = settle(queries.select("query", phrases.alias("terms")).where("terms is not null and terms != array('')").distinct())
+    sets = settle(asked.select("terms").distinct().withColumn("_set", F.monotonically_increasing_id()))
+    terms = sets.select("_set", F.posexplode("terms").alias("pos", "term"))
+
+    stem = F.split(T.relax(F.col("term"), LEVELS - 1), " ")[0]
+    stems = terms.select("term").distinct().withColumn("stem", stem).withColumn("begin", F.substring("stem", 1, SHORTEST_BEGIN))
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.lit(SHORTEST_BEGIN), F.length("word"))), lambda i: F.substring(F.col("word"), F.lit(1), i))
+    vocabulary = counts.select("word").distinct().withColumn("begin", F.explode(begins))
+    level = F.coalesce(*[F.when(F.col("word").startswith(T.relax(F.col("term"), n)), n) for n in range(LEVELS)], F.lit(0))
+    pairs = stems.join(vocabulary, "begin").where(F.col("word").startswith(F.col("stem"))).select("term", "word", level.alias("level"))
+
+    hits = settle(counts.join(pairs, "word").groupBy("_doc", "_size", "term").agg(F.min("level").alias("level"), F.sum("n").cast("double").alias("tf")))
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    several = hits.where(F.col("term").contains(" ")).join(d.select("_doc", "_words"), "_doc").where(spaced(F.array_join("_words", " ")).contains(spaced(F.col("term")))).drop("_words")
+    hits = hits.where(~F.col("term").contains(" ")).unionByName(several)
+
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(float(stats["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = settle(terms.join(df, "term").withColumn("idf", idf))
+    rarest = weighed.groupBy("_set").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("_found")).join(sets.select("_set", F.size("terms").alias("_asked")), "_set").where("_found = _asked")
+    near = rarest.join(hits.select("_doc", "term"), "term").select("_set", "_asked", "_doc")
+    each = near.join(weighed.select("_set", "pos", "term", "idf"), "_set").join(hits, ["_doc", "term"])
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_size") / F.lit(float(stats["avg"] or 1))))
+    held = each.groupBy("_set", "_doc", "_asked").agg(F.count("*").alias("_n"), F.max("level").alias("level"), F.array_sort(F.collect_list(F.struct("pos", part.alias("s")))).alias("_parts")).where("_n = _asked")
+    score = F.aggregate("_parts", F.lit(0.0), lambda total, x: total + x["s"])
+    found = held.select("_set", "_doc", "level", score.alias("score")).join(d.drop("_words", "_size"), "_doc").drop("_doc")
+    return asked.join(sets, "terms").select("query", "_set").join(found, "_set").drop("_set")
+
+
+def search_batch(docs: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """search for all rows of queries (query, text) at once: (query, rank, logical_id, type, level, score). A query's few best rows are ranked by one Python call."""
+    same = queries.groupBy("text").agg(F.collect_set("query").alias("queries"), F.min("query").alias("query"))
+    found = matches_batch(docs, ["display_name", "description"], same.select("query", "text"))
+    best = found.groupBy("query", "logical_id", "type").agg(F.min(F.struct("level", (F.col("locale") == "").alias("own"), (-F.col("score")).alias("less"))).alias("b"))
+    order = Window.partitionBy("query").orderBy(T.is_scaffolding(F.col("logical_id")), "b", "logical_id", "type")
+    top = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(10 * limit, 100)).select("query", "_n", "logical_id", "type", F.col("b.level").alias("level"), (-F.col("b.less")).alias("score"))
+
+    def ranked(rows):
+        import pandas as pd
+
+        out = interleave(rows.sort_values("_n").to_dict("records"), _family)[:limit]
+        return pd.DataFrame({"query": [r["query"] for r in out], "rank": range(len(out)), **{c: [r[c] for r in out] for c in ("logical_id", "type", "level", "score")}})
+
+    kind = queries.schema["query"].dataType.simpleString()
+    answers = top.groupBy("query").applyInPandas(ranked, f"query {kind}, rank int, logical_id string, type string, level int, score double")
+    return same.select("query", F.explode("queries").alias("_each")).join(answers, "query").drop("query").withColumnRenamed("_each", "query").select("query", "rank", "logical_id", "type", "level", "score")
+
+
 def interleave(rows: list, family, longest: int = LONGEST_RUN) -> list:
     """Rows in order, but a family that has run on for `longest` lets the next row of another family go first. For the few rows of an answer."""
     from collections import deque

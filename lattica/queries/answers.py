@@ -42,6 +42,13 @@ def fts05_search(spark, d):
     return search.search(search.search_docs(a, e, k), "crooked lantern", 20)
 
 
+@query(None)
+def fts05_search_batch(spark, d):
+    """The ranked answers to the text of every language key whose id is divisible by 100."""
+    a, e, k = _t(spark, d, "assets", "edges", "lang_keys")
+    return search.search_batch(search.search_docs(a, e, k), k.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("value").alias("text")), 20)
+
+
 @query(None)
 def fts06_schema_search(spark, d):
     return search.search_fields(_t(spark, d, "schema_fields")[0], "item reference quantity")

@@ -3,6 +3,7 @@
 import re
 import unicodedata
 
+from lattica.operators import search
 from lattica.queries import answers, index
 
 
@@ -35,3 +36,29 @@ def test_upsert_merges_all_deliveries(spark, tmp_path):
         expected[name, kind] = (last[min(last)], last[max(last)])
     got = {(r.logical_id, r.type): (r.first_path, r.last_path) for r in index.snk02_upsert(spark, str(tmp_path)).collect()}
     assert got == expected and got["x", None] == ("x4", "x9") and got["gone", "T"] == ("g2", "g3") and got["a", "T"] == ("a1", "a10")
+
+
+def test_search_batch_answers_as_search_does(spark, tmp_path):
+    names = ["Bow_Oak", "Bow_Ash", "Bow_Elm", "Bow_Fir", "Bow_Yew", "Lantern_Old", "Test_Lantern", "Spider_Web"]
+    rows = [(i, n, "Item" if i % 3 else None, "", " ".join(n.split("_")), "") for i, n in enumerate(names)]
+    rows += [(i, n, "Item" if i % 3 else None, "en-US", f"The {n.lower().replace('_', ' ')} lanterns lantern", "an old bow" * (i % 2)) for i, n in enumerate(names)]
+    rows += [(7, "Spider_Web", "Item", "zh-CN", "洞穴蜘蛛网", "蜘 lantern"), (6, "Test_Lantern", None, "zh-CN", "蛛蜘网", "蜘蛛"), (5, "Lantern_Old", "Item", "pt-BR", "A lanterna antiga", "")]
+    docs = spark.createDataFrame(rows, "asset_id long, logical_id string, type string, locale string, display_name string, description string").cache()
+    texts = ["lantern", "lanternas", "bow", "old bow bow", "蜘蛛", "网 lanterna", "BÓW oa", "no such lantern", "...", None, "lantern"]
+    queries = spark.createDataFrame([(100 * i, t) for i, t in enumerate(texts)], "query long, text string")
+    plain = lambda r: (r.rank, r.logical_id, r.type, r.level, round(r.score, 9))
+    got = {}
+    for r in search.search_batch(docs, queries, 6).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(plain(r))
+    expected = {100 * i: [plain(r) for r in search.search(docs, t, 6).orderBy("rank").collect()] for i, t in enumerate(texts) if t}
+    assert got == {q: rows for q, rows in expected.items() if rows}
+    assert len(expected[200]) == 6 and len(expected[400]) == 2 and not expected[700] and got[0] == got[1000]
+
+
+def test_search_batch_takes_texts_of_every_hundredth_key(spark, tmp_path):
+    keys = [(100, "a", "en-US", "oak bow"), (101, "b", "en-US", "lantern"), (200, "c", "ru-RU", "фонарь")]
+    write(spark.createDataFrame([(*k, None) for k in keys], "id long, key string, locale string, value string, root string"), tmp_path, "lang_keys")
+    write(spark.createDataFrame([(1, "Bow_Oak", "Item"), (2, "Lantern", "Item"), (3, "Lamp", "Item")], "id long, logical_id string, type string"), tmp_path, "assets")
+    write(spark.createDataFrame([(3, 200, "lang_key", "/Name")], "src long, dst long, dst_kind string, json_pointer string"), tmp_path, "edges")
+    got = answers.fts05_search_batch(spark, str(tmp_path)).collect()
+    assert sorted((r.query, r.rank, r.logical_id) for r in got) == [(100, 0, "Bow_Oak"), (200, 0, "Lamp")]
