@@ -37,11 +37,13 @@ def dictionary(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def encode(rows: DataFrame, words: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
-    """(term_id, keep...) for each row. Hot terms, at most HOT of them, are looked up in a broadcast, so their rows aren't shuffled by term."""
+    """(term_id, keep...) for each row. Nulls in a key are equal. Hot terms, at most HOT of them, are looked up in a broadcast, so their rows aren't shuffled by term."""
     total = words.agg(F.sum("n")).first()[0] or 0
-    hot = words.where(F.col("n") * HOT > total).select(*key, F.col("term_id").alias("hot_id"))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    cold = marked.where("hot_id is null").select(*key, *keep).join(words.where(F.col("n") * HOT <= total).select(*key, "term_id"), key)
+    same = [(F.col(k).eqNullSafe(F.col(f"_{k}")) if rows.schema[k].nullable else F.col(k) == F.col(f"_{k}")) for k in key]
+    coded = words.select(*[F.col(k).alias(f"_{k}") for k in key], "n", "term_id")
+    hot = coded.where(F.col("n") * HOT > total).select(*[f"_{k}" for k in key], F.col("term_id").alias("hot_id"))
+    marked = rows.join(F.broadcast(hot), same, "left")
+    cold = marked.where("hot_id is null").select(*key, *keep).join(coded.where(F.col("n") * HOT <= total).drop("n"), same)
     return marked.where("hot_id is not null").select(F.col("hot_id").alias("term_id"), *keep).unionByName(cold.select("term_id", *keep))
 
 
