@@ -77,19 +77,27 @@ class TextModel:
         return np.maximum(v, -10.0 if seen else -3.0).astype(np.float32)
 
 
-def fit(documents: DataFrame, sample_documents: int = 4000, longest_chars: int = 50_000) -> TextModel:
+def _below(share: float) -> Column:
+    """Whether a document's hash lies in the lowest share of all 64-bit numbers: as fine as the hash, however small the share."""
+    return F.xxhash64("doc_id") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+
+
+def fit(documents: DataFrame, sample_documents: int = 4000, longest_chars: int = 50_000, most_chars: int = 40_000_000) -> TextModel:
     """A text model from a bounded sample of labelled rows (doc_id, text, label).
 
-    The sample is about sample_documents labelled texts, of up to longest_chars characters: those whose
-    hash of the id falls below the share that gives so many (never more than twice as many), so what
-    reaches the driver doesn't grow with the data; wrong labels among them only blur the counts.
-    Everything after the fit covers all rows and whole texts.
+    The sample is about sample_documents labelled texts, of up to longest_chars characters each and about
+    most_chars in all: those whose hash of the id falls below the share that gives so many (never more than
+    twice as many), so what reaches the driver doesn't grow with the data; wrong labels among them only blur
+    the counts. Everything after the fit covers all rows and whole texts. Without labelled rows the model
+    knows nothing; ValueError if there are labelled rows but the sample got none of them.
     """
     language = label_language(F.col("label"))
-    labelled = documents.where(language.isNotNull()).select(F.count("*").alias("n")).first()["n"]
-    share = min(1.0, sample_documents / max(1, labelled))
-    below = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
-    rows = documents.where(language.isNotNull() & below & (F.length("text") <= longest_chars)).select("text", language.alias("l")).limit(2 * sample_documents).collect()
+    usable = documents.where(language.isNotNull() & (F.length("text") <= longest_chars))
+    there = usable.select(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    share = min(1.0, sample_documents / max(1, there["n"]), most_chars / max(1, there["chars"] or 0))
+    rows = usable.where(_below(share)).select("text", language.alias("l")).limit(2 * sample_documents).collect()
+    if not rows and there["n"]:
+        raise ValueError(f"none of {there['n']} labelled texts is in the sample: raise sample_documents or most_chars")
     counts = [Counter() for _ in CODES]
     for r in rows:
         counts[CODES.index(r["l"])].update(t for t in tokens(r["text"]) if not is_end(t))
