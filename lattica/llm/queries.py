@@ -57,7 +57,28 @@ def _trim(c: str) -> str:
     return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
+def _words(c: str) -> str:
+    """The words of a text as a list, by the rules of TESTDATA.md."""
+    bare = rf"regexp_replace(regexp_replace({c}, '</?(?:a|b|code|em|i|mark|s|small|span|strong|sub|sup|u)(?:\s[^<>]*)?>', '', 'gi'), '</?[A-Za-z][^<>]*>', ' ', 'g')"
+    bare = f"replace(replace({bare}, '&nbsp;', ' '), '&#x27;', chr(39))"
+    lines = rf"regexp_replace({bare}, '(^|\s)\d+\)\s', ' ', 'g')"
+    seen = rf"regexp_replace({lines}, '[\x{{ad}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{feff}}]', '', 'g')"
+    folded = rf"replace(lower(strip_accents({seen})), 'ß', 'ss')"
+    return rf"regexp_extract_all(regexp_replace({folded}, '(\p{{Han}})', ' \1 ', 'g'), '[\pL\pN]+')"
+
+
+_P9 = f"""
+WITH iw AS (SELECT item_id, {_words('text')} w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, {_words('text')} w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT item_id, len(w) n, i, hash(w[i:i + 7]) g FROM (SELECT *, unnest(range(1, len(w) - 6)) i FROM iw)),
+dg AS (SELECT DISTINCT doc_id, hash(w[i:i + 7]) g FROM (SELECT *, unnest(range(1, len(w) - 6)) i FROM dw)),
+c AS (SELECT DISTINCT item_id, doc_id, n, unnest(range(i, i + 8)) place FROM ig JOIN dg USING (g)),
+l AS (SELECT item_id, doc_id, n, count(*) k FROM c GROUP BY ALL HAVING count(*) >= 20 AND count(*) * 5 >= n * 2)
+"""
+
 ORACLE = {
+    "p9_found": _P9 + "SELECT DISTINCT item_id, doc_id FROM l",
+    "p9_report": _P9 + "SELECT item_id, count(DISTINCT doc_id) n_docs, max(k) most_words, any_value(n) of_words FROM l GROUP BY 1",
     "p7_found": f"""
 WITH c AS (SELECT DISTINCT id, asset_id, schema_scope s, '/' || regexp_replace({_trim('schema_pointer')}, '^/+|/+$', '', 'g') p, {_trim('raw_value')} v FROM candidates WHERE schema_scope IS NOT NULL),
 k AS (SELECT * FROM c WHERE v <> ''),

@@ -21,6 +21,10 @@ _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️
 _MARK = re.compile("[̀-ͯ҃-҉֑-ׇؐ-ًؚ-ٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 _HAN = "㐀-䶿一-鿿豈-﫿"
 _HAS_HAN = re.compile(f"[{_HAN}]")
+#: What numbers the lines or points of a layout: `1)`, `(1)`, `[1]` or `a)` standing by itself, and numbers that begin successive lines.
+_POINT = re.compile(r"(?<!\S)[(\[]?(?:\d{1,6}|[A-Za-z])[)\]](?=\s)")
+_LINE_NUMBER = re.compile(r"^[ \t>|*+-]*(\d{1,6})([.:|–-]?)[ \t]+(?=\S)", re.M)
+_HAS_LINE_NUMBER = re.compile(r"\n[ \t>|*+-]*\d")
 _WORD = re.compile(r"[^\W_]+")
 _WORD_HAN = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -31,14 +35,51 @@ FILTER_BITS = 1 << 22
 MOST_KEYS = 500_000
 
 
+def _without_point(m: re.Match) -> str:
+    """Nothing for the mark of a point; a bracket that was opened by earlier words closes those, and stays."""
+    text, at = m.string, m.start()
+    opened = m.group()[0] in "([" or text.rfind("(", max(0, at - 200), at) <= text.rfind(")", max(0, at - 200), at)
+    return "" if opened else m.group()
+
+
+def _without_line_numbers(text: str) -> str:
+    """Without numbers that count up from line to line; the first of them may stand within the line before, after a space."""
+    found = list(_LINE_NUMBER.finditer(text))
+    cuts: list[tuple[int, int]] = []
+    for i, m in enumerate(found):
+        n, mark = int(m[1]), m[2]
+        after = i + 1 < len(found) and found[i + 1][2] == mark and int(found[i + 1][1]) == n + 1
+        before = i > 0 and found[i - 1][2] == mark and int(found[i - 1][1]) == n - 1
+        first = -1
+        if not before and mark:
+            line = text.rfind("\n", 0, max(0, m.start() - 1)) + 1
+            first = text.rfind(f" {n - 1}{mark} ", line, m.start())
+        if first >= 0:
+            cuts.append((first, first + len(f" {n - 1}{mark}")))
+        if after or before or first >= 0:
+            cuts.append(m.span())
+    out, at = [], 0
+    for a, b in sorted(cuts):
+        out.append(text[at:a])
+        at = b
+    return " ".join([*out, text[at:]]) if cuts else text
+
+
 def words(text: str | None) -> list[str]:
-    """A text's words, the same whatever the case, accents, punctuation, markup, invisible characters and lines. An ideograph is a word."""
+    """A text's words, the same whatever the case, accents, punctuation, markup, invisible characters and line layout.
+
+    An ideograph is a word; what numbers lines or points is none.
+    """
     if not text:
         return []
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "&" in text:
         text = html.unescape(text)
+    if ")" in text or "]" in text:
+        text = _POINT.sub(_without_point, text)
+    if _HAS_LINE_NUMBER.search(text):
+        text = _without_line_numbers(text)
     if text.isascii():
         return _WORD.findall(text.lower())
     text = _MARK.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text).casefold()))

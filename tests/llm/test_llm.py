@@ -98,6 +98,34 @@ def test_words():
     assert winnow.words(None) == winnow.words("") == winnow.words(" \n") == []
 
 
+def test_words_whatever_the_line_layout():
+    plain = "the quick brown fox jumps over the lazy dog and runs away"
+    w = plain.split()
+    lines = [" ".join(w[i : i + 3]) for i in range(0, 12, 3)]
+    layouts = [
+        "\n".join(f"{i + 1}) {x}" for i, x in enumerate(lines)),
+        "1) " + " \n2) ".join(lines[:2]) + "\n 3) " + lines[2] + "\n4)\t" + lines[3],
+        "\n".join(f"{i + 1}. {x}" for i, x in enumerate(lines)),
+        "\n".join(f"{i + 118}: {x}" for i, x in enumerate(lines)),
+        "\n".join(f" {i + 9} {x}" for i, x in enumerate(lines)),
+        "\n".join(f"({i + 1}) {x}" for i, x in enumerate(lines)),
+        "\n".join(f"[{i + 1}] {x}" for i, x in enumerate(lines)),
+        "\n".join(f"{'abcd'[i]}) {x}" for i, x in enumerate(lines)),
+        "\n".join(f"* {x}" for x in lines),
+        "\n".join(f"- {x}" for x in lines),
+        "> " + "\n> ".join(lines),
+        "| " + " |\n| ".join(lines) + " |",
+        "<ol><li>" + "</li>\n<li>".join(lines) + "</li></ol>",
+        "  \r\n\t".join(lines),
+    ]
+    for text in layouts:
+        assert winnow.words(text) == w, text
+    assert winnow.words("so. 1. the quick\n2. brown fox") == ["so", "the", "quick", "brown", "fox"]
+    # numbers that are words stay
+    assert winnow.words("in 1999\n3 of 4 (see page 3) came") == "in 1999 3 of 4 see page 3 came".split()
+    assert winnow.words("version 2.5) is\n7. old") == "version 2 5 is 7 old".split()
+
+
 def brute(items, docs, run=8, least=20, share=0.4):
     found = set()
     for i, t in items:
@@ -187,6 +215,20 @@ def test_identify_mixed_and_awkward(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_fit_samples_by_the_whole_hash(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"))
+    for share in (1.0, 0.25, 1e-3):
+        n = docs.where(language._below(share)).count()
+        assert abs(n - share * 200_000) <= 5 * (share * 200_000) ** 0.5
+    assert docs.where(language._below(1e-8)).count() <= 3  # neither all nor, by rounding, a fixed part
+    assert "-9223371852387" in str(language._below(1e-8))  # 1e-8 of the numbers lie below, not none
+    one = spark.createDataFrame([(1, "The lever is here.", "en")], "doc_id long, text string, label string")
+    with pytest.raises(ValueError):
+        language.fit(one, sample_documents=0)
+    assert language.fit(one, most_chars=1000).total[0] == 4
+    assert sum(language.fit(one.limit(0)).total) == len(language.CODES)
+
+
 def test_held_out_accuracy(spark):
     """Fitted on one half of the labelled documents, whole labels of the other half are told by the likelihood."""
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.col("lang").alias("label"), "source")
