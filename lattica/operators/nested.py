@@ -6,9 +6,14 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.sources.lenient_json import LongNumber, loads
+
+#: Path steps and rows of a batch of nodes, at most about.
+BATCH_STEPS, BATCH_ROWS = 1_000_000, 50_000
 _BOM = "﻿"
 _NODES = "rid long, label array<int>, keys array<string>, in_list array<boolean>, kind string, value string"
 
@@ -19,8 +24,8 @@ def read_object(doc: str | None) -> dict | None:
         if not isinstance(doc, str):
             return None
         try:
-            doc = json.loads(doc.lstrip(_BOM))
-        except (ValueError, RecursionError):
+            doc = loads(doc.lstrip(_BOM))
+        except ValueError:
             return None
         if isinstance(doc, dict):
             return doc
@@ -44,52 +49,93 @@ def _scalar(x) -> tuple[str, str | None]:
         return "boolean", "true" if x else "false"
     if isinstance(x, str):
         return "string", x.encode("utf-8", "replace").decode()
-    return "number", json.dumps(x)
+    return "number", repr(x) if isinstance(x, LongNumber) else json.dumps(x)
 
 
-def _shred(rid: int, doc: dict, skip: str) -> Iterator[tuple]:
-    """All nodes in document order; a stack, not recursion, so depth doesn't matter."""
-    stack = [((), (), (), doc)]
+def _shred(doc: dict, skip: str, rows_only: bool) -> Iterator[tuple]:
+    """(way, kind, value) of the nodes in document order. A way is (way before, ordinal, key, in list) or None: it is spelt out only where it is needed."""
+    stack: list[tuple] = [(None, doc)]
     while stack:
-        label, keys, flags, x = stack.pop()
-        if isinstance(x, (dict, list)):
-            is_list = isinstance(x, list)
-            yield rid, label, keys, flags, "array" if is_list else "object", None
-            inner = [(str(i), v) for i, v in enumerate(x)] if is_list else [(k.encode("utf-8", "replace").decode(), v) for k, v in x.items()]
-            for i in range(len(inner) - 1, -1, -1):
-                k, v = inner[i]
-                if is_list or not (skip and k.startswith(skip)):
-                    stack.append(((*label, i), (*keys, k.replace("~", "~0").replace("/", "~1")), (*flags, is_list), v))
+        way, x = stack.pop()
+        if not isinstance(x, (dict, list)):
+            yield way, *_scalar(x)
+            continue
+        is_list = isinstance(x, list)
+        if not rows_only or (not is_list and way is not None and way[3]):
+            yield way, "array" if is_list else "object", None
+        if is_list:
+            inner = [((way, i, str(i), True), v) for i, v in enumerate(x) if not rows_only or isinstance(v, (dict, list))]
         else:
-            yield rid, label, keys, flags, *_scalar(x)
-
-
-def shred(docs: DataFrame, skip: str = "$") -> DataFrame:
+            inner = [((way, i, k, False), v) for i, (k, v) in enumerate(x.items()) if not (skip and k.startswith(skip)) and (not rows_only or isinstance(v, (dict, list)))]
+        inner.reverse()
+        stack += inner
+
+
+class _Nodes:
+    """Nodes as flat columns of an Arrow batch."""
+
+    def __init__(self) -> None:
+        self.rid, self.kind, self.value = [], [], []
+        self.ends, self.label, self.keys, self.flags = [0], [], [], []
+
+    def add(self, rid: int, way: tuple | None, kind: str, value: str | None) -> None:
+        label, keys, flags = [], [], []
+        while way is not None:
+            way, i, k, in_list = way
+            label.append(i)
+            keys.append(k if in_list else k.encode("utf-8", "replace").decode().replace("~", "~0").replace("/", "~1"))
+            flags.append(in_list)
+        self.label += label[::-1]
+        self.keys += keys[::-1]
+        self.flags += flags[::-1]
+        self.ends.append(len(self.label))
+        self.rid.append(rid)
+        self.kind.append(kind)
+        self.value.append(value)
+
+    def full(self) -> bool:
+        return len(self.rid) >= BATCH_ROWS or len(self.label) >= BATCH_STEPS
+
+    def batch(self) -> pa.RecordBatch:
+        ends = pa.array(self.ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((self.label, pa.int32()), (self.keys, pa.string()), (self.flags, pa.bool_()))]
+        columns = [pa.array(self.rid, pa.int64()), *lists, pa.array(self.kind, pa.string()), pa.array(self.value, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["rid", "label", "keys", "in_list", "kind", "value"])
+
+
+def shred(docs: DataFrame, skip: str = "$", rows_only: bool = False) -> DataFrame:
     """Every node of every record, Dewey-labelled.
 
     docs: (rid long, doc string). Result, one row for each object, list and scalar, the root with empty
     labels: rid; label array<int>, the ordinals of the nodes on the way down; keys array<string>, their
     escaped keys or positions; in_list array<boolean>, whether each of them is an element of a list; kind
     (object, array, string, number, boolean, null); value, of scalars. Keys that start with `skip` are left
-    out with all below them. Ordinals of an object count its keys as written.
-    Defined cases: null, empty and unreadable documents yield nothing; of a key given twice the last holds;
-    lone surrogates become `?`; repeated records yield their nodes again; very long and very deep documents
-    go through a stack; an empty table yields no rows. Other columns are not read.
+    out with all below them. Ordinals of an object count its keys as written. With rows_only, objects that
+    are elements of lists come out alone, which is all that elements() asks for.
+    Defined cases: null, empty and unreadable documents yield nothing (unreadable() names them); of a key
+    given twice the last holds; lone surrogates become `?`; repeated records yield their nodes again; very
+    long and very deep documents go through a stack, and come out in batches of bounded size; whole numbers
+    of any length keep their digits; an empty table yields no rows. Other columns are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["rid", "label", "keys", "in_list", "kind", "value"]
-        for pdf in batches:
-            rows: list[tuple] = []
-            for rid, doc in zip(pdf["rid"].tolist(), pdf["doc"].tolist()):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = _Nodes()
+        for batch in batches:
+            for rid, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (x := read_object(doc)) is not None:
-                    rows.extend(_shred(rid, x, skip))
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-            yield pd.DataFrame(rows, columns=names)
+                    for way, kind, value in _shred(x, skip, rows_only):
+                        nodes.add(rid, way, kind, value)
+                        if nodes.full():
+                            yield nodes.batch()
+                            nodes = _Nodes()
+        yield nodes.batch()
+
+    return docs.select(F.col("rid").cast("long").alias("rid"), "doc").mapInArrow(run, _NODES)
+
 
-    return docs.select(F.col("rid").cast("long").alias("rid"), "doc").mapInPandas(run, _NODES)
+def unreadable(docs: DataFrame, key: list[str]) -> DataFrame:
+    """key of the documents (key..., doc) that shred() leaves out although they are not null."""
+    return docs.where(F.col("doc").isNotNull() & ~readable(F.col("doc"))).select(*key)
 
 
 def pointer(keys: Column) -> Column:

@@ -134,19 +134,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("entity", "asset_id")
 
 
-def _present_nodes(spark: SparkSession, d: str) -> DataFrame:
+def _present_nodes(spark: SparkSession, d: str, rows_only: bool = False) -> DataFrame:
     """Nodes of the document of each asset that was read last and can be read."""
     docs = table(spark, d, "asset_docs").where("doc is not null").select("asset_id", "doc", "read_at")
     last = docs.where(nested.readable(F.col("doc"))).groupBy("asset_id").agg(F.max(F.struct("read_at", "doc")).alias("m"))
-    return nested.shred(last.select(F.col("asset_id").alias("rid"), F.col("m.doc").alias("doc")))
+    return nested.shred(last.select(F.col("asset_id").alias("rid"), F.col("m.doc").alias("doc")), rows_only=rows_only)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.elements(_present_nodes(spark, d)).select(F.col("rid").alias("asset_id"), "element_pointer", "parent_pointer")
+    return nested.elements(_present_nodes(spark, d, rows_only=True)).select(F.col("rid").alias("asset_id"), "element_pointer", "parent_pointer")
 
 
 def p6_tables(spark: SparkSession, d: str) -> DataFrame:
-    rows = nested.elements(_present_nodes(spark, d))
+    rows = nested.elements(_present_nodes(spark, d, rows_only=True))
     return rows.groupBy(F.col("table").alias("schema_path")).agg(F.count("*").alias("n_rows"), F.countDistinct("rid").alias("n_assets"))
 
 
