@@ -8,7 +8,9 @@ numbers' distribution; intervals over several blocks are cut at the blocks' ends
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,12 +90,30 @@ def numbers(intervals: DataFrame, name: str) -> DataFrame:
     return intervals.select(F.explode(F.sequence("lo", "hi")).alias(name))
 
 
+def meet(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The numbers that both interval sets hold, as disjoint intervals."""
+    return _sweep(_edges(a, "a", width).unionByName(_edges(b, "p", width)), lambda x, y: (x > 0) & (y > 0))
+
+
+@dataclass(frozen=True)
+class Gaps:
+    """What a run has to process, and the number of commits it was derived from."""
+
+    base: int
+    intervals: DataFrame
+
+
 class Ledger:
     """Which sequence numbers were processed, kept in a folder beside the outputs.
 
-    A run writes its output and the merged intervals to a folder of its own, then publishes both at once
-    by renaming one marker file. A run that fails before the rename leaves nothing that counts, so its
-    numbers stay gaps and the next run takes them; numbers that were committed late are gaps likewise.
+    A run takes the gaps, writes its output and the merged intervals to a folder of its own, then publishes
+    both at once by one numbered marker. The number follows from the commits that the gaps were derived from,
+    and a marker is never replaced, so of two runs that took the same gaps only one can commit. A run that
+    fails before its marker leaves nothing that counts: its numbers stay gaps and the next run takes them;
+    numbers that arrive late are gaps likewise.
+
+    The marker is written aside and then moved, which on HDFS and the like fails if the name is taken, in one
+    step; on a folder of this machine a hard link does the same. A store without such a step needs another lock.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -101,43 +121,70 @@ class Ledger:
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _markers(self) -> list[str]:
+    def _count(self) -> int:
         root = self._hadoop(f"{self.path}/commits")
-        if not self._fs.exists(root):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(root) if s.getPath().getName().endswith(".json"))
+        return sum(s.getPath().getName().endswith(".json") for s in self._fs.listStatus(root)) if self._fs.exists(root) else 0
 
     def runs(self) -> list[dict]:
-        """The committed runs, in order."""
-        return [json.loads(self.spark.read.text(f"{self.path}/commits/{m}", wholetext=True).first()[0]) for m in self._markers()]
+        """The committed runs, in order; one job reads all markers."""
+        if not self._count():
+            return []
+        found = self.spark.read.text(f"{self.path}/commits/*.json", wholetext=True).collect()
+        return sorted((json.loads(r[0]) for r in found), key=lambda r: r["number"])
+
+    def _ledger(self, count: int) -> DataFrame:
+        if not count:
+            return self.spark.createDataFrame([], "lo long, hi long")
+        marker = self.spark.read.text(f"{self.path}/commits/{count - 1:08d}.json", wholetext=True).first()[0]
+        return self.spark.read.parquet(f"{self.path}/{json.loads(marker)['run']}/ledger")
 
     def processed(self) -> DataFrame:
         """The intervals that the last commit holds; none at first."""
-        runs = self.runs()
-        if not runs:
-            return self.spark.createDataFrame([], "lo long, hi long")
-        return self.spark.read.parquet(f"{self.path}/{runs[-1]['run']}/ledger")
+        return self._ledger(self._count())
 
     def outputs(self) -> DataFrame | None:
         """What all committed runs put out together."""
         paths = [f"{self.path}/{r['run']}/output" for r in self.runs()]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def gaps(self, available: DataFrame) -> DataFrame:
-        return subtract(available, self.processed())
-
-    def commit(self, output: DataFrame, intervals: DataFrame) -> str:
-        """Writes output and merged intervals, then makes both visible at once; fails if another run came first."""
-        before = len(self._markers())
-        run = f"run-{before:08d}-{uuid.uuid4().hex[:12]}"
+    def gaps(self, available: DataFrame) -> Gaps:
+        """The numbers of available (lo, hi) that no commit holds, to be handed to commit()."""
+        base = self._count()
+        return Gaps(base, subtract(available, self._ledger(base)))
+
+    def commit(self, output: DataFrame, gaps: Gaps, done: DataFrame | None = None) -> str:
+        """Writes output and merged intervals, then makes both visible at once.
+
+        done: the intervals that output really covers, if not all gaps; they must not meet what is processed.
+        RuntimeError if another run committed since the gaps were taken; nothing is visible then.
+        """
+        if self._count() != gaps.base:
+            raise RuntimeError(f"another run committed number {gaps.base} first; take the gaps anew")
+        before = self._ledger(gaps.base)
+        if done is not None and not meet(done, before).isEmpty():
+            raise ValueError("numbers that were processed before would be processed again")
+        run = f"run-{gaps.base:08d}-{uuid.uuid4().hex[:12]}"
         output.write.parquet(f"{self.path}/{run}/output")
-        merge(self.processed(), intervals).write.parquet(f"{self.path}/{run}/ledger")
-        draft = self._hadoop(f"{self.path}/{run}/marker")
+        merge(before, gaps.intervals if done is None else done).write.parquet(f"{self.path}/{run}/ledger")
+        self._publish(run, gaps.base)
+        return run
+
+    def _publish(self, run: str, number: int) -> None:
+        draft, final = self._hadoop(f"{self.path}/{run}/marker"), self._hadoop(f"{self.path}/commits/{number:08d}.json")
         stream = self._fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"run": run, "number": before}).encode()))
+        stream.write(bytearray(json.dumps({"run": run, "number": number}).encode()))
         stream.close()
-        self._fs.mkdirs(self._hadoop(f"{self.path}/commits"))
-        final = self._hadoop(f"{self.path}/commits/{before:08d}.json")
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"another run committed number {before} first; start again")
-        return run
+        self._fs.mkdirs(final.getParent())
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                os.link(draft.toUri().getPath(), final.toUri().getPath())
+            else:
+                jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+                rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+                how = self.spark.sparkContext._gateway.new_array(rename, 1)
+                how[0] = rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(draft, final, how)
+        except Exception as e:
+            if self._fs.exists(final):
+                raise RuntimeError(f"another run committed number {number} first; take the gaps anew") from e
+            raise

@@ -24,9 +24,12 @@ def typed(paths: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def build(spark: SparkSession, packs: list[tuple[str, str, int]], schema_fields: DataFrame, rules: list[tuple[str, str, str]], out: str, suffixes: tuple[str, ...] = (".json",), roots: tuple[str, ...] = ("Server/",), without_leaves: tuple[str, ...] = ("Server/Prefabs/", "Server/World/")) -> None:
     """Reads packs (archive, kind, priority), writes all tables below out, and last a marker that says they are complete.
 
-    Every table is overwritten, so a build may be repeated after a failure; a folder without the marker is no
-    index. Documents are parsed once; edges are resolved before alignment and judged again after it.
+    The marker of an earlier build is taken away first, and every table is overwritten, so a build may be
+    repeated after a failure; a folder without the marker is no index. Documents are parsed once; edges are
+    resolved before alignment and judged again after it.
     """
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/complete.parquet")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, True)
     ids = {a: i + 1 for i, (a, _, _) in enumerate(packs)}
     spark.createDataFrame([(ids[a], a.rsplit("/", 1)[-1], a, k, p) for a, k, p in packs], "id long, name string, path string, kind string, priority int").write.mode("overwrite").parquet(f"{out}/packs.parquet")
     pack_id = F.create_map(*[x for a, i in ids.items() for x in (F.lit(a), F.lit(i).cast("long"))])[F.col("archive")]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.canonical import canonical_digest, canonical_kind, canonical_path, canonical_pointer, decimal_value, flag_value, trimmed, whole_value
-from lattica.operators import hierarchy, incremental, nested, orphans, snapshots, wide
-from lattica.session import table
+from lattica.operators import hierarchy, incremental, intervals, nested, orphans, snapshots, wide
+from lattica.session import shared_folder, table
 
 # Texts that stand for "no reference" (compared in lower case)
 NO_REFERENCE = ("none", "default", "null", "true", "false", "any", "all")
@@ -37,6 +39,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     ).withColumnRenamed("seq", "asset_id")
 
 
+def p2_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Which run of a ledger processed each asset: run 0 sees the first pack's assets, the next run fails before it
+    commits, and run 1 finds all other numbers, late ones in between the first run's among them."""
+    a = table(spark, d, "assets").select("id", "pack_id")
+    ledger = intervals.Ledger(spark, shared_folder(spark, f"ledger-{uuid.uuid4().hex}"))
+
+    def output(run: int, gaps: intervals.Gaps) -> DataFrame:
+        todo = intervals.numbers(gaps.intervals, "id")
+        return a.select("id").distinct().join(todo, "id").select(F.col("id").alias("asset_id"), F.lit(run).alias("run"))
+
+    gaps = ledger.gaps(intervals.islands(a.where("pack_id = 1"), "id"))
+    ledger.commit(output(0, gaps), gaps)
+    everything = intervals.islands(a, "id")
+    lost = ledger.gaps(everything)
+    output(-1, lost).write.parquet(f"{ledger.path}/run-lost/output")
+    gaps = ledger.gaps(everything)
+    ledger.commit(output(1, gaps), gaps)
+    return ledger.outputs()
+
+
 def _parent_links(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "assets").select("id").distinct()
     links = table(spark, d, "edges").where(
@@ -155,7 +177,7 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
     return cells.select(F.col("rid").alias("asset_id"), F.col("table").alias("schema_path"), F.array_join(F.col("row_label").cast("array<string>"), ".").alias("row_label"), F.col("column").alias("column_path"), "kind", "value")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p3_found, p3_paths, p3_descendants, p4_found, p4_report, p5_found, p6_found, p6_tables, p6_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_ledger, p3_found, p3_paths, p3_descendants, p4_found, p4_report, p5_found, p6_found, p6_tables, p6_values)}
 
 _WS = r"[\s\x1c-\x1f\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -250,6 +272,7 @@ i AS (SELECT asset_id, {_digest('content_hash')} h, epoch, row_number() OVER (PA
 a AS (SELECT DISTINCT id, {_digest('content_hash')} h, last_changed_epoch e FROM assets WHERE removed_at IS NULL)
 SELECT DISTINCT a.id asset_id FROM a LEFT JOIN i ON i.asset_id = a.id AND i.n = 1
 WHERE i.asset_id IS NULL OR a.h <> i.h OR ((a.h IS NULL OR i.h IS NULL) AND a.e > i.epoch)""",
+    "p2_ledger": "SELECT id asset_id, CASE WHEN bool_or(pack_id = 1) THEN 0 ELSE 1 END run FROM assets GROUP BY id",
     "p3_found": _P3 + "SELECT id asset_id, root root_id, depth FROM t UNION ALL SELECT w.id, min(w.x), -1 FROM w JOIN ring ON ring.id = w.x GROUP BY w.id",
     "p3_paths": _P3 + "SELECT id asset_id, array_to_string(path, '/') path FROM t UNION ALL SELECT id, '' FROM bad",
     "p3_descendants": _P3 + ", d AS (SELECT id, depth, unnest(path) anc, unnest(range(len(path))) lvl FROM t) SELECT anc ancestor_id, id descendant_id, depth - lvl distance FROM d WHERE anc <> id",

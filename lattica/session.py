@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ def local_session(cores: int | None = None, app: str = "lattica") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -30,16 +33,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage through a reliable checkpoint.
+def shared_folder(spark: SparkSession, name: str = "") -> str:
+    """The folder that all executors share, spark.checkpoint.dir, or one of the given name below it.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share. Only where that is
-    unset and no other folder was chosen, as in tests, a folder of this machine is taken.
+    Only where that is unset and the master is local, as in tests, a folder of this machine is taken;
+    on a cluster that would lose data, so there it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lattica-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    root = context.getCheckpointDir().rstrip("/")
+    return f"{root}/{name}" if name else root
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Computes df once and cuts its lineage through a reliable checkpoint in shared_folder()."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

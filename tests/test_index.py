@@ -51,6 +51,44 @@ def test_lenient_json():
         lenient_json.parse("{", "here")
 
 
+@pytest.mark.parametrize("text", ['{"a": [1, {"b": "x\\u00e9"}, []], "c": {}, "d": -1.5e3, "e": null, "f": [true, false]}', "[]", "{}", '"s"', " 12 ", '{"a": 1, "a": {"b": 2}}', "[[1,2],[3]]", "[1,]", "[1 2]", '{"a" 1}', '{"a": 1} x', "", "nul", "[", '{"a":', '{a: 1}', "[1", "[NaN, -Infinity]"])
+def test_deep_reader_agrees(text):
+    try:
+        want = json.loads(text, parse_constant=str)
+    except ValueError:
+        with pytest.raises(ValueError):
+            lenient_json._deep(text, str)
+    else:
+        got = lenient_json._deep(text, str)
+        assert got == want and json.dumps(got) == json.dumps(want)
+
+
+def test_depth_and_length_without_bounds(spark):
+    n = 50_000
+    deep, digits = '{"k": ' * n + "[NaN, 1]" + "}" * n, "9" * 6000
+    doc, fixes = lenient_json.parse(deep)
+    assert fixes == [("/k" * n + "/0", "NaN")] and lenient_json.dumps(doc) == deep.replace("NaN", "null")
+    doc, _ = lenient_json.parse(f'{{"n": [{digits}, 7], "s": "\u00e9"}}')
+    assert lenient_json.dumps(doc) == f'{{"n": [{digits}, 7], "s": "\u00e9"}}' and doc["n"][1] == 7
+    df = spark.createDataFrame([(1, '{"a": ' * 20_000 + '[{"x": 5}]' + "}" * 20_000), (2, f'{{"n": {digits}, "t": " padded "}}'), (3, "{"), (4, None), (5, '{"v": [NaN]}')], "asset_id long, doc string")
+    got = {(r.asset_id, len(r.json_pointer), r.raw_value) for r in lenient_json.leaves(df).collect()}
+    assert got == {(1, 40_000 + 4, "5"), (2, 2, digits), (2, 2, "padded")}
+    assert [tuple(r)[0] for r in lenient_json.unreadable(df, ["asset_id"]).collect()] == [3]
+    fixed = {r.asset_id: r.r for r in df.select("asset_id", lenient_json.repaired(F.col("doc")).alias("r")).collect()}
+    assert fixed[5].json == '{"v": [null]}' and fixed[4] is None or fixed[4].json is None and len(fixed[1].json) > 100_000 and digits in fixed[2].json
+
+
+def test_number_text():
+    for x, want in ((1.0, "1"), (1.5, "1.5"), (1e16, "10000000000000000"), (1e21, "1e+21"), (1e-5, "0.00001"), (1.5e-7, "1.5e-7"), (7, "7")):
+        assert lenient_json.number_text(x) == want
+
+
+def test_text_references(spark):
+    doc = {"$c": {"N": "server.items.apple.name"}, "l": ["common.ui.ok", "server.a"], "long": "server.x." + "y" * 300, "t": " server.a.b"}
+    got = {tuple(r)[1:] for r in lenient_json.text_references(spark.createDataFrame([(1, json.dumps(doc)), (2, "["), (3, None)], "asset_id long, doc string")).collect()}
+    assert got == {("/$c/N", "N", "server.items.apple.name"), ("/l/0", "0", "common.ui.ok"), ("/long", "long", "server.x." + "y" * 300)}
+
+
 def test_leaves(spark):
     doc = {"ItemId": "Plant_Fruit_Apple", "L": 40, "H": True, "S": 1.5, "N": None, "$c": "no", "One": 1.0, "p": "x" * 97, "q": "a/" + "x" * 150 + ".png", "l": [{"k": "Default"}], "e": " "}
     df = spark.createDataFrame([(1, json.dumps(doc)), (2, "{"), (3, None)], "asset_id long, doc string")
@@ -254,6 +292,11 @@ def test_build_and_answers(spark, tmp_path):
     for _ in range(2):  # a build may be repeated
         build.build(spark, [(base, "vanilla", 3), (mod, "archive", 2)], fields, [("Server/Item/", "", "Item")], out)
     assert build.state(spark, out) == "ready"
+    with pytest.raises(Exception):  # a build that fails half-way leaves no index that looks ready
+        build.build(spark, [(base, "vanilla", 3), (str(tmp_path / "gone.zip"), "archive", 2)], fields, [("Server/Item/", "", "Item")], out)
+    assert build.state(spark, out) == "incomplete"
+    build.build(spark, [(base, "vanilla", 3), (mod, "archive", 2)], fields, [("Server/Item/", "", "Item")], out)
+    assert build.state(spark, out) == "ready"
     ix = answers.Index(spark, out)
     assert {(r.kind, r.confidence) for r in ix.edges.collect()} == {("REFERENCES_FILE", "high"), ("LOCALIZED_BY", "high"), ("INHERITS_FROM", "high")}
     assert ix.assets.where("logical_id = 'Bow_Oak' and is_effective").count() == 1 and ix.candidates.where("raw_value = 'x'").count() == 0

@@ -114,17 +114,77 @@ def test_intervals_against_sets(spark):
 def test_ledger_survives_failure(spark, tmp_path):
     ledger = intervals.Ledger(spark, str(tmp_path / "ledger"))
     available = spark.createDataFrame([(0, 9)], "lo long, hi long")
-    assert numbers(ledger.gaps(available)) == set(range(10))
+    gaps = ledger.gaps(available)
+    assert numbers(gaps.intervals) == set(range(10))
     first = spark.createDataFrame([(0, 3), (6, 6)], "lo long, hi long")
-    ledger.commit(intervals.numbers(first, "n"), first)
+    ledger.commit(intervals.numbers(first, "n"), gaps, first)
     # a run that wrote its output but never published it does not count
     intervals.numbers(available, "n").write.parquet(str(tmp_path / "ledger/run-lost/output"))
     later = spark.createDataFrame([(0, 11)], "lo long, hi long")
     gaps = intervals.Ledger(spark, str(tmp_path / "ledger")).gaps(later)
-    assert numbers(gaps) == {4, 5, 7, 8, 9, 10, 11}
-    ledger.commit(intervals.numbers(gaps, "n"), gaps)
+    assert numbers(gaps.intervals) == {4, 5, 7, 8, 9, 10, 11}
+    with pytest.raises(ValueError, match="processed before"):
+        ledger.commit(intervals.numbers(later, "n"), gaps, later)
+    ledger.commit(intervals.numbers(gaps.intervals, "n"), gaps)
     assert sorted(r[0] for r in ledger.outputs().collect()) == list(range(12))
-    assert rows(ledger.gaps(later)) == []
+    assert rows(ledger.gaps(later).intervals) == []
+
+
+def test_ledger_refuses_overlapping_runs(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    available = spark.createDataFrame([(0, 9)], "lo long, hi long")
+    one, two = intervals.Ledger(spark, path), intervals.Ledger(spark, path)
+    a, b = one.gaps(available), two.gaps(available)
+    one.commit(intervals.numbers(a.intervals, "n"), a)
+    with pytest.raises(RuntimeError, match="take the gaps anew"):
+        two.commit(intervals.numbers(b.intervals, "n"), b)
+    # both may pass the first look and meet only at the marker
+    more = spark.createDataFrame([(0, 19)], "lo long, hi long")
+    a, b = one.gaps(more), two.gaps(more)
+    publish = intervals.Ledger._publish
+
+    def late(self, run, number):
+        if self is two:
+            one.commit(intervals.numbers(a.intervals, "n"), a)
+        publish(self, run, number)
+
+    monkeypatch.setattr(intervals.Ledger, "_publish", late)
+    with pytest.raises(RuntimeError, match="take the gaps anew"):
+        two.commit(intervals.numbers(b.intervals, "n"), b)
+    assert sorted(r[0] for r in one.outputs().collect()) == list(range(20)) and len(one.runs()) == 2
+
+    def crash(self, run, number):
+        raise OSError("the machine is gone")
+
+    # a crash between output and marker leaves the numbers to the next run
+    monkeypatch.setattr(intervals.Ledger, "_publish", crash)
+    last = spark.createDataFrame([(0, 24)], "lo long, hi long")
+    gaps = two.gaps(last)
+    with pytest.raises(OSError):
+        two.commit(intervals.numbers(gaps.intervals, "n"), gaps)
+    monkeypatch.setattr(intervals.Ledger, "_publish", publish)
+    gaps = one.gaps(last)
+    assert numbers(gaps.intervals) == set(range(20, 25))
+    one.commit(intervals.numbers(gaps.intervals, "n"), gaps)
+    assert sorted(r[0] for r in two.outputs().collect()) == list(range(25))
+
+
+def test_markers_of_a_shared_store_are_never_replaced(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    ledger = intervals.Ledger(spark, path)
+
+    class Store:  # a file system that isn't of this machine, by its scheme
+        def __getattr__(self, name):
+            return getattr(ledger_fs, name)
+
+        def getUri(self):  # noqa: N802
+            return type("U", (), {"getScheme": staticmethod(lambda: "shared")})()
+
+    ledger_fs, ledger._fs = ledger._fs, Store()
+    ledger._publish("run-a", 0)
+    with pytest.raises(RuntimeError):
+        ledger._publish("run-b", 0)
+    assert [r["run"] for r in ledger.runs()] == ["run-a"]
 
 
 def test_unprocessed_rules(spark):
@@ -247,6 +307,7 @@ def test_nested_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "rid long, doc string").withColumn("label", F.lit(1))
     got = sorted((r["rid"], r["element_pointer"], r["parent_pointer"]) for r in nested.elements(nested.shred(df)).collect())
     assert got == sorted((i, *e) for i, x in enumerate(docs) for e in brute_elements(x))
+    assert got == sorted((r["rid"], r["element_pointer"], r["parent_pointer"]) for r in nested.elements(nested.shred(df, rows_only=True)).collect())
 
 
 def test_nested_awkward(spark):
@@ -259,3 +320,8 @@ def test_nested_awkward(spark):
     cells = [tuple(r) for r in nested.leaves(nodes.where("rid = 5")).select("table", "column", "kind", "value").collect()]
     assert cells == [("/a/*", "/b", "number", "NaN")]
     assert nested.elements(nested.shred(df.limit(0))).count() == 0
+    assert sorted(r[0] for r in nested.unreadable(df, ["rid"]).collect()) == [1, 2, 3, 4]
+    very = spark.createDataFrame([(1, '{"a": ' * 50_000 + '[{"b": [{}]}]' + "}" * 50_000), (2, '{"n": ' + "7" * 5000 + "}")], "rid long, doc string")
+    got = [tuple(r) for r in nested.elements(nested.shred(very, rows_only=True)).select("rid", F.length("element_pointer"), F.length("parent_pointer")).collect()]
+    assert sorted(got) == [(1, 100_002, 0), (1, 100_006, 100_002)]
+    assert nested.shred(very.where("rid = 2")).where("kind = 'number'").first()["value"] == "7" * 5000
