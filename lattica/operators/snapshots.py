@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.canonical import row_hash
-from lattica.session import small_side
+from lattica.session import settle, small_side
 
 
 def snapshot_changes(
@@ -46,9 +46,7 @@ def snapshot_changes(
     ).where("v is not null and s is not null and k is not null")
     latest = slim.groupBy("s", "k", "v").agg(F.max(F.struct("o", "hi", "hd")).alias("m")).select("s", "k", "v", "m.hi", "m.hd")
     by_scope = Window.partitionBy("s").orderBy("v")
-    seen = small_side(
-        slim.select("s", "v").distinct().select("s", "v", F.lead("v").over(by_scope).alias("next_v"), F.lag("v").over(by_scope).alias("prev_v"))
-    )
+    seen = small_side(settle(slim.select("s", "v").distinct().select("s", "v", F.lead("v").over(by_scope).alias("next_v"), F.lag("v").over(by_scope).alias("prev_v"))))
     placed = latest.join(seen, ["s", "v"])
     new = placed.where("prev_v is not null").select("s", "k", "v", "hi", "hd")
     old = placed.where("next_v is not null").select("s", "k", F.col("next_v").alias("v"), F.col("hi").alias("old_hi"), F.col("hd").alias("old_hd"))
