@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import settle
+from lattica.session import dealt
 
 
 def widen(rows: DataFrame, readers: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
@@ -20,11 +20,12 @@ def widen(rows: DataFrame, readers: dict[str, tuple[str, Callable[[Column], Colu
     Defined cases: null entities, attributes and values give nothing; repeated rows count once; attributes
     without a reader are left out; an empty table yields no rows. Other columns are not read.
 
-    Method: rows are hashed by entity and attribute once, reduced to the last readable value and settled
-    as narrow rows; each attribute's typed narrow table is a slice of them. The slices meet in a balanced
-    tree of full outer joins on the entity, all hashed alike. Dozens of attributes thus need joins of
-    logarithmic depth, and no pivot ever holds an entity's rows together. Only attributes with a reader
-    are shuffled, and map-side combine reduces hot entities.
+    Method: rows are reduced to the last readable value of each entity and attribute, and written once as
+    narrow tables, a folder for each attribute, all dealt into the same buckets by entity. Each attribute's
+    typed narrow table is one such folder; they meet in a balanced tree of outer joins on the entity, each
+    half of which starts from the entities it has to hold, so every join keeps the buckets.
+    Scale: one shuffle reduces (map-side combine takes hot entities apart), one deals the reduced rows; the
+    joins need none, however many attributes there are. No pivot ever holds an entity's rows together.
     """
     # the readable value, as text in its typed form, of attributes that are asked for
     slim = rows.select(F.col("entity").alias("e"), F.col("attribute").alias("a"), F.col("value").alias("v"), F.col("seen").alias("s"), F.col("tie").alias("t")).where("e is not null and v is not null")
@@ -35,8 +36,14 @@ def widen(rows: DataFrame, readers: dict[str, tuple[str, Callable[[Column], Colu
         readable = cell if readable is None else F.coalesce(readable, cell)
     wanted = sorted({a for a, _ in readers.values()})
     last = slim.where(F.col("a").isin(wanted)).select("e", "a", F.struct(F.col("s"), F.col("t"), readable.alias("x")).alias("m")).where("m.x is not null").groupBy("e", "a").agg(F.max("m").alias("m"))
-    narrow = settle(last.select("e", "a", F.col("m.x").alias("x")))
+    narrow = dealt(last.select("e", "a", F.col("m.x").alias("x")), "e", ["a"])
     tables = [narrow.where(F.col("a") == attribute).select("e", F.col("x").cast(typed[name]).alias(name)) for name, (attribute, _) in readers.items()]
-    while len(tables) > 1:
-        tables = [tables[i].join(tables[i + 1], "e", "full_outer") if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
-    return tables[0].select(F.col("e").alias("entity"), *readers)
+    entities = narrow.groupBy("e").agg(F.lit(True).alias("there")).select("e")
+    half = -(-len(tables) // 2)
+    sides = []
+    for part in (tables[:half], tables[half:]):
+        side = entities
+        for t in part:
+            side = side.join(t, "e", "left")
+        sides.append(side)
+    return sides[0].join(sides[1], "e").select(F.col("e").alias("entity"), *readers)

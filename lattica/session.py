@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, key: str, folders: list[str] = ()) -> DataFrame:
+    """df written once as a table of the shared folder, its rows dealt into buckets by key, and into folders by other columns.
+
+    Joins and groups by key over the result need no shuffle, and a filter on a folder's column reads only that
+    folder. The number of buckets is the session's number of shuffle partitions.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"dealt_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.bucketBy(n, key).option("path", shared_folder(spark, name))
+    (writer.partitionBy(*folders) if folders else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """df with a broadcast hint if it was counted to have at most max_rows rows, else as it is.
 
