@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.canonical import canonical_digest, canonical_kind, canonical_path, canonical_pointer, decimal_value, flag_value, trimmed, whole_value
 from lattica.operators import hierarchy, incremental, intervals, nested, orphans, snapshots, wide
-from lattica.session import shared_folder, table
+from lattica.session import shared_folder, small_side, table
 
 # Texts that stand for "no reference" (compared in lower case)
 NO_REFERENCE = ("none", "default", "null", "true", "false", "any", "all")
@@ -94,10 +94,10 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     refs = (
         table(spark, d, "candidates")
         .where("value_kind = 'string'")
-        .select("id", "schema_scope", canonical_pointer(F.col("schema_pointer")).alias("field"), value.alias("value"), "seen_at")
+        .select("id", "schema_scope", canonical_pointer(F.col("schema_pointer")).alias("field"), "raw_value", "seen_at")
+        .join(small_side(fields), ["schema_scope", "field"])
+        .withColumn("value", value)
         .where((F.col("value") != "") & ~F.lower("value").isin(*NO_REFERENCE))
-        .distinct()
-        .join(fields, ["schema_scope", "field"])
     )
     kind = F.col("reference_target")
     refs = refs.select(
@@ -118,13 +118,11 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     refs, parents = _references(spark, d)
-    resolved = table(spark, d, "candidates").where("resolved_edge_id is not null").select(F.col("id").alias("ref_id"), F.lit("edges").alias("target"), F.col("resolved_edge_id").cast("string").alias("key"), F.col("seen_at").alias("at")).distinct()
-    edges = table(spark, d, "edges").select(F.lit("edges").alias("target"), F.col("id").cast("string").alias("key")).distinct()
-    nothing = F.lit(None).cast("timestamp_ntz")
-    # an edge has no times of its own: it is there for good
-    always = edges.withColumn("added_at", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).withColumn("removed_at", nothing)
-    found = orphans.orphans(refs.unionByName(resolved), parents.unionByName(always))
-    return found.select(F.col("ref_id").alias("candidate_id"), F.split("target", ":")[0].alias("target_table"), F.date_format("at", "yyyy-MM").alias("period"), "reason")
+    named = orphans.orphans(refs, parents).select(F.col("ref_id").alias("candidate_id"), F.split("target", ":")[0].alias("target_table"), "at", "reason")
+    resolved = table(spark, d, "candidates").select("id", F.col("resolved_edge_id").alias("edge"), "seen_at")
+    lost = orphans.missing(resolved, table(spark, d, "edges").select(F.col("id").alias("edge")), "edge")
+    edges = lost.select(F.col("id").alias("candidate_id"), F.lit("edges").alias("target_table"), F.col("seen_at").alias("at"), F.lit("missing").alias("reason"))
+    return named.unionByName(edges).select("candidate_id", "target_table", F.date_format("at", "yyyy-MM").alias("period"), "reason").distinct()
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:

@@ -236,10 +236,12 @@ def test_paths_and_descendants(spark):
     assert {tuple(r) for r in hierarchy.descendants(p).where("ancestor = 2").collect()} == {(2, 3, 1), (2, 4, 2), (2, 5, 3), (2, 6, 2)}
 
 
-def test_orphans_against_brute_force(spark):
-    rng = random.Random(4)
+@pytest.mark.parametrize("most_stays", [0, 2, 64])
+def test_orphans_against_brute_force(spark, monkeypatch, most_stays):
+    monkeypatch.setattr(orphans, "MOST_STAYS", most_stays)
+    rng = random.Random(4 + most_stays)
     at = lambda: DAY + dt.timedelta(hours=rng.randrange(24 * 6))
-    parents = [(rng.choice("ab"), rng.choice("klm"), rng.choice([at(), at(), None]), rng.choice([at(), None])) for _ in range(12)]
+    parents = [(rng.choice("ab"), rng.choice("klm"), rng.choice([at(), at(), None]), rng.choice([at(), at(), None])) for _ in range(30)]
     refs = [(i, rng.choice("ab"), rng.choice("klmn"), at()) for i in range(80)] + [(90, None, "k", at()), (91, "a", None, at()), (92, "a", "zzz", None)]
     want = []
     for i, t, k, x in refs:
@@ -259,6 +261,28 @@ def test_orphans_against_brute_force(spark):
     assert orphans.report(found).agg(F.sum("n")).first()[0] == len(want)
 
 
+def test_missing_without_times(spark):
+    r = spark.createDataFrame([(1, 5), (2, 6), (2, 6), (3, None), (4, 7)], "id long, edge long")
+    assert rows(orphans.missing(r, spark.createDataFrame([(5,), (5,), (None,)], "edge long"), "edge")) == [(2, 6), (2, 6), (4, 7)]
+    assert rows(orphans.missing(r.limit(0), r, "edge")) == []
+
+
+def plan_of(spark, query):
+    """The plan of a query over the small tables, where nothing is broadcast, as on large ones."""
+    import __spark_entry__
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return __spark_entry__.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_wide_tables_meet_without_a_shuffle(spark):
+    plan = plan_of(spark, "p5_found")
+    assert plan.count("SortMergeJoin") == 7 and plan.count("Exchange") == 0, plan
+
+
 def test_widen(spark):
     data = [
         (1, "/A", "5", DAY, 1), (1, "/A", "x", DAY + dt.timedelta(1), 2), (1, "/B", " t ", DAY, 3), (2, "/A", "7", None, 4), (2, "/A", "8", None, 5),
