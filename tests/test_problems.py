@@ -212,7 +212,9 @@ def brute_roots(links):
     return sorted(out)
 
 
-def test_hierarchy_against_brute_force(spark):
+@pytest.mark.parametrize("links_per_forest", [500_000, 9])
+def test_hierarchy_against_brute_force(spark, monkeypatch, links_per_forest):
+    monkeypatch.setattr(hierarchy, "LINKS_PER_FOREST", links_per_forest)
     rng = random.Random(3)
     cases = [
         [(i, i - 1) for i in range(1, 40)],
@@ -221,11 +223,19 @@ def test_hierarchy_against_brute_force(spark):
         [(i, rng.randrange(60)) for i in range(60)],
         [(i, rng.randrange(i)) for i in range(1, 80)],
         [(1, None), (None, 2), (3, 4), (3, 4), (3, 9)],
+        # rings across partitions with tails, beside a tree
+        [(i, (i + 7) % 40) for i in range(40)] + [(100 + i, i) for i in range(20)] + [(200, 201), (201, 202)],
         [],
     ]
     for links in cases:
         df = spark.createDataFrame(links, "child long, parent long").withColumn("root", F.lit("clash"))
         assert sorted(map(tuple, hierarchy.roots(df).collect())) == brute_roots(links)
+    up = dict(cases[4])
+    for r in hierarchy.paths(spark.createDataFrame(cases[4], "child long, parent long")).collect():
+        way = [r["node"]]
+        while way[-1] in up:
+            way.append(up[way[-1]])
+        assert list(r["path"]) == way[::-1]
 
 
 def test_paths_and_descendants(spark):
