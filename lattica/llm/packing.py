@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
 import os
 from collections.abc import Iterator
 
@@ -16,6 +17,9 @@ from lattica.session import settle
 
 #: Windows filled, and parts packed, together in one task at least, about: each shard may leave a window partly empty.
 PER_SHARD, LEAST_PARTS = 200, 512
+#: Parts times windows of a shard at most, about, whatever the sizes; what differencing takes grows with it.
+MOST_CELLS = 20_000_000
+SHARDS_PER_TASK, MOST_TASKS = 12, 20_000
 #: Shares of the smallest items held back from differencing, to fill gaps; the best one is taken shard by shard.
 HELD_BACK = (0.0, 0.03, 0.2)
 #: Kinds of windows that one call fills.
@@ -51,31 +55,39 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """Karmarkar-Karp multiway differencing: the part, of k, of each item.
 
     Every item starts as a partial partition with one part filled. The two partitions with the greatest
-    spread are merged again and again, the fullest part of one with the emptiest of the other.
+    spread are merged again and again, the fullest part of one with the emptiest of the other. Only filled
+    parts are kept, so memory is proportional to the items.
     """
     n = len(sizes)
     left: list[int] = []
     right: list[int] = []
-    heap = []
-    for i, size in enumerate(sizes.tolist()):
-        load, tree = np.zeros(k, dtype=np.int64), np.full(k, -1, dtype=np.int64)
-        load[0], tree[0] = size, i
-        heap.append((-size, i, load, tree))
+    # of each partial partition: minus its spread, a serial, its filled parts' loads in falling order, and their trees of items
+    heap = [(-size, i, np.array([size], dtype=np.int64), np.array([i], dtype=np.int64)) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     serial = n
     while len(heap) > 1:
         _, _, load, tree = heapq.heappop(heap)
         _, _, load2, tree2 = heapq.heappop(heap)
-        load, tree2 = load + load2[::-1], tree2[::-1]
-        both = np.flatnonzero((tree >= 0) & (tree2 >= 0))
-        merged = np.where(tree >= 0, tree, tree2)
-        if len(both):
+        if len(load) + len(load2) <= k:
+            load, merged = np.concatenate([load, load2]), np.concatenate([tree, tree2])
+        else:
+            at = np.zeros(k, dtype=np.int64)
+            merged = np.full(k, -1, dtype=np.int64)
+            at[: len(load)] = load
+            merged[: len(load)] = tree
+            at[k - len(load2) :] += load2[::-1]
+            tree2 = np.concatenate([np.full(k - len(tree2), -1, dtype=np.int64), tree2[::-1]])
+            both = np.flatnonzero((merged >= 0) & (tree2 >= 0))
+            joined = merged[both]
+            merged = np.where(merged >= 0, merged, tree2)
             merged[both] = np.arange(len(left), len(left) + len(both)) + n
-            left.extend(tree[both].tolist())
+            left.extend(joined.tolist())
             right.extend(tree2[both].tolist())
+            load = at
         order = np.argsort(-load, kind="stable")
         load, merged = load[order], merged[order]
-        load -= load[-1]
+        if len(load) == k:
+            load = load - load[-1]
         heapq.heappush(heap, (-int(load[0]), serial, load, merged))
         serial += 1
     part = np.zeros(n, dtype=np.int64)
@@ -101,8 +113,18 @@ def _relieve(sizes: np.ndarray, part: np.ndarray, load: np.ndarray, capacity: in
             if load[w] <= capacity:
                 continue
             room = capacity - load
+            inside = np.flatnonzero(part == w)
+            enough = inside[(sizes[inside] >= load[w] - capacity) & (sizes[inside] <= room.max())]
+            if len(enough):  # one item goes where it leaves least room
+                i = int(enough[np.argmin(sizes[enough])])
+                to = int(np.argmin(np.where(room >= sizes[i], room, 1 << 60)))
+                part[i] = to
+                load[w] -= sizes[i]
+                load[to] += sizes[i]
+                moved = True
+                continue
             best = None
-            for i in np.flatnonzero(part == w):
+            for i in inside:
                 # an exchange for item j lowers this window by d and raises j's by d
                 d = sizes[i] - sizes
                 gain = np.where((d > 0) & (d <= room[part]) & (part != w), d, 0)
@@ -218,11 +240,16 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
         .select("window_name", "capacity", "item", "part", (F.col("part") * F.col("capacity")).alias("start"), F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).alias("size"))
     )
     parts = settle(parts)
-    # as many shards of each kind as leave PER_SHARD windows and LEAST_PARTS parts to each; one row a kind of window is read
+    # as many shards of each kind as leave PER_SHARD windows and LEAST_PARTS parts to each, but no more than MOST_CELLS parts times windows; one row a kind of window is read
     needed = parts.groupBy("window_name", "capacity").agg(F.sum("size").alias("total"), F.count("*").alias("parts")).collect()
-    shards = F.lit(1)
+    shards, total = F.lit(1), 0
     for r in needed:
-        shards = F.when((F.col("window_name") == r["window_name"]) & (F.col("capacity") == r["capacity"]), max(1, round(min(r["total"] / r["capacity"] / PER_SHARD, r["parts"] / LEAST_PARTS)))).otherwise(shards)
+        filled = r["total"] / r["capacity"]
+        n = max(1, round(min(filled / PER_SHARD, r["parts"] / LEAST_PARTS)), math.ceil(math.sqrt(filled * r["parts"] / MOST_CELLS)))
+        shards = F.when((F.col("window_name") == r["window_name"]) & (F.col("capacity") == r["capacity"]), n).otherwise(shards)
+        total += n
+    # a shard weighs few bytes but much time, so their number, not their size, says how many tasks there are
+    tasks = max(1, min(total, max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(total // SHARDS_PER_TASK, MOST_TASKS))))
     kind = sizes.schema["item"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -239,6 +266,7 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
 
     packed = (
         parts.withColumn("shard", F.pmod(F.xxhash64("item", "part"), shards))
+        .repartition(tasks, "window_name", "capacity", "shard")
         .groupBy("window_name", "capacity", "shard")
         .applyInPandas(run, f"window_name string, window_no long, item {kind}, part int, start long, size long")
     )
