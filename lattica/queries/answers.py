@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lattica.operators import align, graph, inherit, links, search
 from lattica.queries.index import _E, _t
-from lattica.sources import lenient_json
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -89,13 +88,6 @@ def join22_stations(spark, d):
     return s.groupBy("station").agg(F.countDistinct("logical_id").alias("n_plans"))
 
 
-@query(None)
-def nst01_shred(spark, d):
-    """The leaves of the documents read last of all that are not null."""
-    (docs,) = _t(spark, d, "asset_docs")
-    return lenient_json.leaves(docs.where("doc is not null").groupBy("asset_id").agg(F.max_by("doc", F.struct("read_at", "doc")).alias("doc")))
-
-
 @query(None)
 def nst10_align(spark, d):
     """Leaves with the scope and pointer of the declared field they belong to."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import json
+import os
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -18,8 +19,10 @@ class Selection:
     missing: list[str] = field(default_factory=list)
 
 
-def find(start: str, name: str = "lattica.json") -> tuple[dict, list[str]] | None:
-    """The nearest configuration upwards of a folder, paths resolved against it, and its unknown keys."""
+def find(start: str, name: str = "lattica.json", switch: str = "LATTICA_NO_CONFIG") -> tuple[dict, list[str]] | None:
+    """The nearest configuration upwards of a folder, paths resolved against it, and its unknown keys; none if the environment has the switch set."""
+    if os.environ.get(switch, "") not in ("", "0"):
+        return None
     for folder in [Path(start).resolve(), *Path(start).resolve().parents]:
         if (path := folder / name).is_file():
             raw = json.loads(path.read_text("utf-8"))

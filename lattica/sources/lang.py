@@ -27,6 +27,11 @@ def read(spark, folder: str) -> DataFrame:
     return entries(files).withColumn("locale", locale_from_path(F.col("path")))
 
 
+def fallbacks(files: DataFrame) -> dict[str, str]:
+    """The locale each locale falls back to, from fallback files (path, content) in the syntax of language files. A handful of lines."""
+    return {r["key"]: r["value"] for r in entries(files).where("value != ''").orderBy("path").collect()}
+
+
 def chain(locale: str, fallbacks: dict[str, str], default: str = "en-US") -> list[str]:
     """The locales to look in, in order: as the fallbacks say, then the locale's language, then the default. Rings end."""
     out: list[str] = []
