@@ -228,7 +228,7 @@ def src15_evaluation_set(spark, d):
 
 # --- documents -----------------------------------------------------------------------------------
 _LAST = r"""d AS (SELECT asset_id, arg_max(doc, (read_at, doc)) doc FROM (SELECT DISTINCT * FROM asset_docs WHERE doc IS NOT NULL) GROUP BY 1),
-l AS (SELECT asset_id, n doc FROM (SELECT asset_id, regexp_replace(ltrim(doc, chr(65279)), '([:\[,]\s*)(NaN|-?Infinity)', '\1null', 'g') n FROM d) WHERE json_valid(n) AND json_type(n) IN ('OBJECT', 'ARRAY'))"""
+l AS (SELECT asset_id, n doc FROM (SELECT asset_id, regexp_replace(ltrim(doc, chr(65279)), '([:\[,]\s*)(NaN|-?Infinity)', '\1null', 'g') n FROM d) WHERE json_valid(n))"""
 _KEYS = "json_extract(node, '$.\"' || k || '\"') node, pointer || '/' || replace(replace(k, '~', '~0'), '/', '~1') pointer"
 _WALK = r"""WITH RECURSIVE {last},
 t AS (SELECT asset_id, doc::JSON node, '' pointer, '' schema FROM l
