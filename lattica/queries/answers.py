@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.operators import align, graph, inherit, links, search
+from lattica.operators import align, graph, links, search
 from lattica.queries.index import _E, _t
 
 QUERIES: dict = {}
@@ -98,16 +98,6 @@ def nst10_align(spark, d):
     return align.align(rows, lineage, s)
 
 
-@query(None)
-def inh03_documents(spark, d):
-    """Documents with what they inherit folded in."""
-    docs, a, c, s = _t(spark, d, "asset_docs", "assets", "candidates", "schema_fields")
-    last = docs.where("doc is not null").groupBy("asset_id").agg(F.max_by("doc", F.struct("read_at", "doc")).alias("doc"))
-    last = last.join(a.select(F.col("id").alias("asset_id"), "type").distinct(), "asset_id")
-    parents = graph.inherits(c, a).select(F.col("src").alias("child"), F.col("dst").alias("parent"))
-    return inherit.resolve_documents(last, parents, s)
-
-
 @query(f"WITH {_E} SELECT src asset_id, count(*) n_out, count(DISTINCT dst_kind) n_kinds FROM e GROUP BY 1")
 def agg14_out_degree(spark, d):
     e = graph.resolve(*_t(spark, d, "candidates", "assets", "files", "lang_keys", "schema_fields"))

@@ -70,16 +70,6 @@ def nst14_rule_at(spark, d):
     return c.join(exact, ["schema_scope", "schema_pointer"], "left").join(wild, ["schema_scope", "wild"], "left").select("schema_scope", "schema_pointer", F.coalesce("e", "w").alias("rule"))
 
 
-@query(f"WITH {_C}, p AS (SELECT DISTINCT s.id, c.raw_value, s.type FROM c JOIN a s ON s.id = c.asset_id WHERE c.json_pointer = '/Parent' AND s.type IS NOT NULL) SELECT p.id asset_id, p.raw_value parent, EXISTS (SELECT 1 FROM a t WHERE t.logical_id = p.raw_value AND t.type = p.type) known FROM p")
-def inh01_parents(spark, d):
-    """Whether each asset's parent is known within its type."""
-    c, a = _t(spark, d, "candidates", "assets")
-    s = a.where("type is not null").select(F.col("id").alias("asset_id"), "type").distinct()
-    p = c.where((F.col("json_pointer") == "/Parent") & (F.col("value_kind") == "string") & ~T.is_noise(F.col("raw_value"))).select("asset_id", F.col("raw_value").alias("parent")).distinct().join(s, "asset_id")
-    known = a.select(F.col("logical_id").alias("parent"), "type", F.lit(True).alias("k")).distinct()
-    return p.join(known, ["parent", "type"], "left").select("asset_id", "parent", F.coalesce("k", F.lit(False)).alias("known"))
-
-
 @query("WITH c AS (SELECT DISTINCT asset_id, json_pointer, raw_value, schema_scope s, schema_pointer p FROM candidates WHERE value_kind = 'string'), dec AS (SELECT DISTINCT raw_value FROM c WHERE s = 'common:DropContainer' AND p = '/Entries/*/Item/ItemId') SELECT raw_value v, count(*) n, count(DISTINCT asset_id) n_assets FROM c WHERE s = 'CraftPlan' AND p IN ('/Input/*/ItemId', '/Input/*/Alternatives/*/ItemId') AND raw_value NOT IN (SELECT raw_value FROM dec) GROUP BY 1")
 def op13_unresolved_values(spark, d):
     """Values referred to that nothing declares, with who uses them."""

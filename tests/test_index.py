@@ -204,6 +204,32 @@ def test_inheritance(spark):
     assert got[5][0] == {"D": 1}
 
 
+def test_inheritance_of_unions_and_broken_chains(spark):
+    fields = spark.createDataFrame(
+        [
+            ("Act", "", ["Act:Run", "Act:Jump"], None, "Op", ["run", "jump"]), ("Act:Run", "/Map/*", None, None, None, None), ("Act:Run", "/Box", ["Box"], None, None, None),
+            ("Act:Run", "/M2", None, None, None, None), ("Act:Run", "/M2/*", ["Box"], None, None, None), ("Box", "", None, True, None, None),
+        ],
+        "asset_type string, json_pointer string, ref_scope array<string>, merges_properties boolean, discriminator_property string, discriminator_values array<string>",
+    )
+    docs = {
+        1: {"Op": "run", "Map": {"a~/b": 1, "c": 1}, "Box": {"p": 1}, "M2": {"x": {"q": 1}}}, 2: {"Parent": "one", "Map": {"c": 2}, "Box": {"r": [1]}, "M2": {"x": {"z": 2}}}, 3: {"Op": "jump", "Parent": "two", "Map": {"d": 3}},
+        4: {"Parent": "lost"}, 5: {"Parent": "six"}, 6: {"Parent": "five", "K": 6}, 8: {"Parent": "seven"}, 20: {"n": 20}, **{i: {"n": i} for i in range(21, 41)},
+    }
+    d = spark.createDataFrame([(i, "Act", json.dumps(x)) for i, x in docs.items()] + [(7, "Act", "{"), (9, "Act", None)], "asset_id long, type string, doc string")
+    links = [(2, 1, "one"), (3, 2, "two"), (4, None, "lost"), (5, 6, "six"), (6, 5, "five"), (8, 7, "seven")] + [(i, i - 1, "x") for i in range(21, 41)]
+    got = {r.asset_id: r for r in inherit.resolve_documents(d, spark.createDataFrame(links, "child long, parent long, name string"), fields).collect()}
+    two, three = (json.loads(got[i].doc) for i in (2, 3))
+    assert got[2].scope == "Act:Run" and two["Map"] == {"a~/b": 1, "c": 2} and two["Box"] == {"p": 1, "r": [1]} and two["M2"] == {"x": {"q": 1, "z": 2}} and two["Op"] == "run"
+    assert json.loads(got[2].origins)["/Map/a~0~1b"] == ["inherited", "1"] and json.loads(got[2].origins)["/M2/x/q"] == ["inherited", "1"]
+    assert got[3].scope == "Act:Jump" and three["Map"] == {"d": 3} and three["Box"] == {"r": [1]} and json.loads(got[3].origins)["/Box"] == ["inherited", "2"]
+    assert got[4].missing_parent == "lost" and not got[4].truncated and got[8].missing_parent == "7" and got[7].doc is None and got[9].doc is None
+    assert got[5].truncated and json.loads(got[5].doc)["K"] == 6 and got[5].depth == 1 and got[6].depth == 1
+    assert got[40].depth == 15 and got[40].truncated and not got[35].truncated and got[35].depth == 15 and json.loads(got[40].doc)["n"] == 40
+    tallies = {r.asset_id: (r.declared, r.inherited, r.merged) for r in inherit.origin_tallies(spark.createDataFrame([(2, got[2].origins)], "asset_id long, origins string")).collect()}
+    assert tallies == {2: (1, 1, 3)}
+
+
 def test_links_and_prefixes(spark):
     c = spark.createDataFrame([leaf(1, "/Id", "Furnace", "Bench"), leaf(2, "/Req", "Furnace", "Need"), leaf(3, "/Req", "Nothing", "Need")], CANDIDATE)
     got = links.value_links(c, [links.ValueLink("bench", (("Bench", "/Id"),), (("Need", "/Req"),))])
