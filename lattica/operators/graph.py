@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import follows_convention, is_identifier, is_noise
+from lattica.session import settle
 
 EDGE = ["src", "dst", "dst_kind", "kind", "json_pointer", "confidence"]
 
@@ -41,17 +42,21 @@ def merged(rows: DataFrame, key: list[str], seq: str, policy: dict[str, str] | s
     return rows.groupBy(*key).agg(*[pick[h](c).alias(c) for c, h in how.items()])
 
 
-def _strings(candidates: DataFrame) -> DataFrame:
-    """String leaves that may name something."""
-    return candidates.where((F.col("value_kind") == "string") & ~is_noise(F.col("raw_value"))).select("asset_id", "json_pointer", "schema_pointer", "schema_scope", "raw_value").distinct()
+STRINGS = ["asset_id", "json_pointer", "schema_pointer", "schema_scope", "raw_value"]
 
 
-def _typed(candidates: DataFrame, assets: DataFrame) -> DataFrame:
-    return _strings(candidates).join(assets.select(F.col("id").alias("asset_id"), F.col("type").alias("src_type")).distinct(), "asset_id")
+def strings(candidates: DataFrame) -> DataFrame:
+    """String leaves that may name something, each once."""
+    return candidates.where((F.col("value_kind") == "string") & ~is_noise(F.col("raw_value"))).select(*STRINGS).distinct()
 
 
-def _targets(assets: DataFrame) -> DataFrame:
-    return assets.where("is_effective").select(F.col("id").alias("dst"), F.col("logical_id").alias("raw_value"), F.col("type").alias("dst_type")).distinct()
+def _typed(leaves: DataFrame, assets: DataFrame) -> DataFrame:
+    return leaves.join(assets.select(F.col("id").alias("asset_id"), F.col("type").alias("src_type")).distinct(), "asset_id")
+
+
+def _targets(assets: DataFrame, effective_only: bool = True) -> DataFrame:
+    known = assets.where("is_effective") if effective_only else assets
+    return known.select(F.col("id").alias("dst"), F.col("logical_id").alias("raw_value"), F.col("type").alias("dst_type")).distinct()
 
 
 def _declared(schema_fields: DataFrame, scope: str) -> DataFrame:
@@ -63,47 +68,74 @@ def _edge(df: DataFrame, dst_kind: str, kind: str, confidence) -> DataFrame:
     return df.select(F.col("asset_id").alias("src"), "dst", F.lit(dst_kind).alias("dst_kind"), F.lit(kind).alias("kind"), "json_pointer", level.alias("confidence")).distinct()
 
 
+def _inherits(typed: DataFrame, targets: DataFrame) -> DataFrame:
+    found = typed.where("json_pointer = '/Parent'").join(targets, "raw_value").where("dst_type = src_type and dst != asset_id")
+    return _edge(found, "asset", "INHERITS_FROM", "high")
+
+
+def _localized_by(leaves: DataFrame, lang_keys: DataFrame) -> DataFrame:
+    keys = lang_keys.where("locale = 'en-US'").select(F.col("id").alias("dst"), F.concat("root", F.lit("."), "key").alias("raw_value")).where("raw_value is not null").distinct()
+    return _edge(leaves.where("raw_value like '%.%.%'").join(keys, "raw_value"), "lang_key", "LOCALIZED_BY", "high")
+
+
+def _references_file(leaves: DataFrame, files: DataFrame) -> DataFrame:
+    f = files.select(F.col("id").alias("dst"), "path").distinct()
+    c = leaves.where("raw_value like '%.%' and raw_value not like '% %'").withColumn("path", F.concat(F.lit("Common/"), "raw_value"))
+    return _edge(c.join(f, "path"), "file", "REFERENCES_FILE", "high")
+
+
+def _references(typed: DataFrame, targets: DataFrame, schema_fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References of fields that declare a target's type, and of fields that declare none."""
+    fields = _declared(schema_fields, "src_type")
+    named = typed.where("json_pointer != '/Parent'")
+    c = named.join(fields, ["src_type", "schema_pointer"])
+    declared = _edge(c.join(targets, "raw_value").where("dst_type = reference_target and dst != asset_id"), "asset", "REFERENCES", "high")
+    free = named.join(fields.select("src_type", "schema_pointer"), ["src_type", "schema_pointer"], "left_anti")
+    level = F.when(follows_convention(F.col("json_pointer")), "medium").otherwise("low")
+    return declared, _edge(free.join(targets, "raw_value").where("dst != asset_id"), "asset", "REFERENCES", level)
+
+
 def inherits(candidates: DataFrame, assets: DataFrame) -> DataFrame:
     """/Parent names the effective asset of that name and of the same (known) type, not itself."""
-    c = _typed(candidates.where("json_pointer = '/Parent'"), assets)
-    return _edge(c.join(_targets(assets), "raw_value").where("dst_type = src_type and dst != asset_id"), "asset", "INHERITS_FROM", "high")
+    return _inherits(_typed(strings(candidates.where("json_pointer = '/Parent'")), assets), _targets(assets))
 
 
 def localized_by(candidates: DataFrame, lang_keys: DataFrame) -> DataFrame:
     """root.key names the English text of a language key."""
-    keys = lang_keys.where("locale = 'en-US'").select(F.col("id").alias("dst"), F.concat("root", F.lit("."), "key").alias("raw_value")).where("raw_value is not null").distinct()
-    return _edge(_strings(candidates).where("raw_value like '%.%.%'").join(keys, "raw_value"), "lang_key", "LOCALIZED_BY", "high")
+    return _localized_by(strings(candidates), lang_keys)
 
 
 def references_file(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """A value with a dot and without a space is the path of a file below Common/."""
-    f = files.select(F.col("id").alias("dst"), "path").distinct()
-    c = _strings(candidates).where("raw_value like '%.%' and raw_value not like '% %'").withColumn("path", F.concat(F.lit("Common/"), "raw_value"))
-    return _edge(c.join(f, "path"), "file", "REFERENCES_FILE", "high")
+    return _references_file(strings(candidates), files)
 
 
 def declared_references(candidates: DataFrame, assets: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """Fields declared to refer to a type name the effective asset of that type."""
-    c = _typed(candidates.where("json_pointer != '/Parent'"), assets).join(_declared(schema_fields, "src_type"), ["src_type", "schema_pointer"])
-    return _edge(c.join(_targets(assets), "raw_value").where("dst_type = reference_target and dst != asset_id"), "asset", "REFERENCES", "high")
+    return _references(_typed(strings(candidates), assets), _targets(assets), schema_fields)[0]
 
 
 def heuristic_references(candidates: DataFrame, assets: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """Fields without a declared target name effective assets of any type: medium if the field's name follows a convention, else low."""
-    c = _typed(candidates.where("json_pointer != '/Parent'"), assets).join(_declared(schema_fields, "src_type"), ["src_type", "schema_pointer"], "left_anti")
-    level = F.when(follows_convention(F.col("json_pointer")), "medium").otherwise("low")
-    return _edge(c.join(_targets(assets), "raw_value").where("dst != asset_id"), "asset", "REFERENCES", level)
+    return _references(_typed(strings(candidates), assets), _targets(assets), schema_fields)[1]
 
 
 def resolve(candidates: DataFrame, assets: DataFrame, files: DataFrame, lang_keys: DataFrame, schema_fields: DataFrame) -> DataFrame:
-    """All edges of the first pass."""
-    return reduce(
-        DataFrame.unionByName,
-        [
-            inherits(candidates, assets), localized_by(candidates, lang_keys), references_file(candidates, files),
-            declared_references(candidates, assets, schema_fields), heuristic_references(candidates, assets, schema_fields),
-        ],
-    )
+    """All edges of the first pass, settled. The leaves are filtered, made distinct and given their asset's type once, for all kinds of edges."""
+    kinds = assets.select(F.col("id").alias("asset_id"), F.col("type").alias("src_type"), F.lit(True).alias("owned")).distinct()
+    leaves = settle(strings(candidates).join(kinds, "asset_id", "left"))
+    typed, targets = leaves.where("owned").drop("owned"), _targets(assets)
+    return settle(reduce(DataFrame.unionByName, [_inherits(typed, targets), _localized_by(leaves, lang_keys), _references_file(leaves, files), *_references(typed, targets, schema_fields)]))
+
+
+def draft_edges(leaves: DataFrame, drafts: DataFrame, assets: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """Edges of drafts (their leaves and assets) to assets, drafts or indexed: inheritance, declared and heuristic references.
+
+    Unlike resolve(), drafts see every definition, effective or not, and no value counts as noise.
+    """
+    typed = settle(_typed(leaves.where("value_kind = 'string'").select(*STRINGS).distinct(), drafts))
+    targets = _targets(assets.select("id", "logical_id", "type", "is_effective").unionByName(drafts.select("id", "logical_id", "type", F.lit(True).alias("is_effective"))), effective_only=False)
+    return reduce(DataFrame.unionByName, [_inherits(typed, targets), *_references(typed, targets, schema_fields)])
 
 
 def broken_references(candidates: DataFrame, assets: DataFrame, schema_fields: DataFrame, aligned: bool = False) -> DataFrame:
@@ -112,9 +144,9 @@ def broken_references(candidates: DataFrame, assets: DataFrame, schema_fields: D
     Before alignment a field is looked up under its asset's type, afterwards under its own scope.
     """
     if aligned:
-        c = _strings(candidates).join(_declared(schema_fields, "schema_scope"), ["schema_scope", "schema_pointer"])
+        c = strings(candidates).join(_declared(schema_fields, "schema_scope"), ["schema_scope", "schema_pointer"])
     else:
-        c = _typed(candidates, assets).join(_declared(schema_fields, "src_type"), ["src_type", "schema_pointer"])
+        c = _typed(strings(candidates), assets).join(_declared(schema_fields, "src_type"), ["src_type", "schema_pointer"])
     there = assets.select(F.col("logical_id").alias("raw_value"), F.col("type").alias("reference_target")).distinct()
     return c.join(there, ["raw_value", "reference_target"], "left_anti").select("asset_id", "json_pointer", "raw_value", "reference_target").distinct()
 
@@ -124,7 +156,7 @@ def dangling(candidates: DataFrame, assets: DataFrame, lang_keys: DataFrame, edg
     names = assets.select(F.col("logical_id").alias("raw_value")).unionByName(lang_keys.select(F.col("key").alias("raw_value"))).distinct()
     with_edge = edges.select(F.col("src").alias("asset_id"), "json_pointer").distinct()
     return (
-        _strings(candidates)
+        strings(candidates)
         .where(is_identifier(F.col("raw_value")))
         .select("asset_id", "json_pointer", "raw_value")
         .distinct()
