@@ -30,7 +30,7 @@ def effective(assets: DataFrame, packs: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], policy: dict[str, str] | str) -> DataFrame:
-    """Rows of both tables, one per key; each column takes the `first`, the `last` or the first non-null (`coalesce`) value. policy: one for all, or by column."""
+    """Rows of both tables, one per key; each column takes the `first`, the `last`, the last non-null (`coalesce`) or the first non-null (`first_known`) value. policy: one for all, or by column."""
     both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)))
     return merged(both, key, "_seq", policy).select(*old.columns)
 
@@ -38,7 +38,7 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], policy: dict[str, str
 def merged(rows: DataFrame, key: list[str], seq: str, policy: dict[str, str] | str) -> DataFrame:
     """upsert over any number of deliveries, in the order of the column seq, in one aggregation. A null in the key is a value of its own; a key may occur once in a delivery."""
     how = {c: policy if isinstance(policy, str) else policy.get(c, "last") for c in rows.columns if c not in (*key, seq)}
-    pick = {"first": lambda c: F.min_by(F.struct(c), seq)[c], "last": lambda c: F.max_by(F.struct(c), seq)[c], "coalesce": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq)))}
+    pick = {"first": lambda c: F.min_by(F.struct(c), seq)[c], "last": lambda c: F.max_by(F.struct(c), seq)[c], "coalesce": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))), "first_known": lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq)))}
     return rows.groupBy(*key).agg(*[pick[h](c).alias(c) for c, h in how.items()])
 
 

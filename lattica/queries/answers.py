@@ -75,19 +75,6 @@ def agg16_link_summary(spark, d):
     return links.summary(join32_value_links(spark, d))
 
 
-@query(r"""WITH c AS (SELECT DISTINCT asset_id, json_pointer, schema_pointer, raw_value FROM candidates WHERE schema_scope = 'CraftPlan'), g AS (SELECT asset_id, regexp_replace(json_pointer, '/[^/]*/[^/]*$', '') "at", string_agg(DISTINCT raw_value, ',' ORDER BY raw_value) groups FROM c WHERE schema_pointer = '/Bench/*/Groups/*' GROUP BY ALL) SELECT i.raw_value station, i.asset_id, regexp_replace(i.json_pointer, '/[^/]*$', '') "at", g.groups FROM c i LEFT JOIN g ON g.asset_id = i.asset_id AND g."at" = regexp_replace(i.json_pointer, '/[^/]*$', '') WHERE i.schema_pointer = '/Bench/*/Id'""")
-def join31_stations(spark, d):
-    return links.stations(_t(spark, d, "candidates")[0])
-
-
-@query(r"WITH c AS (SELECT DISTINCT asset_id, json_pointer, schema_pointer, raw_value FROM candidates WHERE schema_scope = 'CraftPlan'), a AS (SELECT DISTINCT id, logical_id FROM assets WHERE is_effective) SELECT c.raw_value station, count(DISTINCT a.logical_id) n_plans FROM c JOIN a ON a.id = c.asset_id WHERE c.schema_pointer = '/Bench/*/Id' GROUP BY 1")
-def join22_stations(spark, d):
-    """The stations plans require, with their numbers of effective plans."""
-    c, a = _t(spark, d, "candidates", "assets")
-    s = links.stations(c).join(a.where("is_effective").select(F.col("id").alias("asset_id"), "logical_id").distinct(), "asset_id")
-    return s.groupBy("station").agg(F.countDistinct("logical_id").alias("n_plans"))
-
-
 @query(None)
 def nst10_align(spark, d):
     """Leaves with the scope and pointer of the declared field they belong to."""

@@ -93,7 +93,7 @@ def agg11_scopes(spark, d):
 
 
 @query("SELECT logical_id, type, count(DISTINCT id) n FROM assets WHERE type IS NOT NULL GROUP BY ALL HAVING count(DISTINCT id) > 1")
-def agg17_duplicates(spark, d):
+def win01_several_definitions(spark, d):
     """Identities with several definitions."""
     (a,) = _t(spark, d, "assets")
     return a.where("type is not null").groupBy("logical_id", "type").agg(F.countDistinct("id").alias("n")).where("n > 1")
