@@ -13,66 +13,112 @@ from lattica.functions.canonical import schema_pointer
 #: Declared fields that a rule book may hold; it is parameters, not data, and is refused beyond.
 MOST_FIELDS = 1_000_000
 HOPS = 8
+#: Pointers whose alignment a task remembers.
+MOST_REMEMBERED = 200_000
+
+
+class _State:
+    """A place among a scope's declared pointers: where each segment leads, whether a field is declared here, and into which scopes it continues."""
+
+    __slots__ = ("declared", "leads", "property", "targets")
+
+    def __init__(self) -> None:
+        self.leads: dict[str, _State] = {}
+        self.declared = False
+        self.targets: list[tuple[str, str, str | None]] = []
+        self.property = "Type"
+
+    def after(self, segment: str) -> _State:
+        return self.leads.setdefault(segment, _State())
+
+    def into(self, told) -> str | None:
+        """The scope that the field continues in: its only target, or the one that the discriminator names, by its constant, else by the shortest name it begins."""
+        if len(self.targets) < 2:
+            return self.targets[0][1] if self.targets else None
+        value = told(self.property)
+        if value is None:
+            return None
+        exact = [t for _, t, constant in self.targets if constant == value]
+        return (exact or [t for name, t, _ in self.targets if name.startswith(value)] or [None])[0]
 
 
 class Rules:
-    """What the walk asks of the declared fields."""
+    """An automaton over the segments of pointers, one for each scope, out of the declared fields."""
 
     def __init__(self, fields: list[dict]):
-        self.pointers: dict[str, set[str]] = {}
-        self.scope: dict[tuple[str, str], str] = {}
-        self.union: dict[tuple[str, str], list[tuple[str, str, str | None]]] = {}
-        self.property: dict[tuple[str, str], str] = {}
+        self.start: dict[str, _State] = {}
         constants = {f["asset_type"]: f.get("type_constant") for f in fields if f["json_pointer"] == "/Type"}
         for f in fields:
-            at = (f["asset_type"], f["json_pointer"])
-            self.pointers.setdefault(at[0], set()).add(at[1])
-            targets = list(f.get("ref_scope") or [])
-            values = list(f.get("discriminator_values") or [])
-            if len(targets) == 1:
-                self.scope[at] = targets[0]
-            elif targets:
-                named = [(t.rpartition(":")[2], t, values[i] if len(values) == len(targets) else constants.get(t)) for i, t in enumerate(targets)]
-                self.union[at] = sorted(named, key=lambda b: (len(b[0]), b[0]))
-                self.property[at] = f.get("discriminator_property") or "Type"
+            state = self.start.setdefault(f["asset_type"], _State())
+            for segment in f["json_pointer"].split("/")[1:]:
+                state = state.after(segment)
+            state.declared = True
+            targets, values = list(f.get("ref_scope") or []), list(f.get("discriminator_values") or [])
+            if targets:
+                told = values if len(values) == len(targets) else [constants.get(t) for t in targets]
+                state.targets = sorted(((t.rpartition(":")[2], t, v) for t, v in zip(targets, told)), key=lambda x: (len(x[0]), x[0]))
+                state.property = f.get("discriminator_property") or "Type"
+        self.remembered: dict[tuple[str, str], tuple[str, str]] = {}
 
     def properties(self) -> set[str]:
-        return set(self.property.values())
-
-    def branch(self, at: tuple[str, str], value: str | None) -> str | None:
-        """The target whose constant the discriminator is, else the one with the shortest name that begins with it."""
-        if value is None:
-            return None
-        options = self.union[at]
-        return next((t for _, t, c in options if c == value), None) or next((t for name, t, _ in options if name.startswith(value)), None)
+        found, waiting = set(), list(self.start.values())
+        while waiting:
+            state = waiting.pop()
+            waiting += state.leads.values()
+            if len(state.targets) > 1:
+                found.add(state.property)
+        return found
 
     def align(self, kind: str, pointer: str, raw: str, told) -> tuple[str, str]:
-        """(scope, pointer) of a leaf; told(raw pointer, property) gives the discriminator there, or None."""
-
-        def enter(kind: str, raw_prefix: str) -> str:
-            if (kind, "") in self.union:
-                b = self.branch((kind, ""), told(raw_prefix, self.property[kind, ""]))
-                return b if b in self.pointers else kind
-            return kind
-
-        scope, here, there = enter(kind, ""), "", ""
-        parts, raws = pointer.split("/")[1:], raw.split("/")[1:]
-        for i, (part, raw_part) in enumerate(zip(parts, raws)):
-            known = self.pointers.get(scope)
-            if known is None:
-                here += "".join("/" + p for p in parts[i:])
-                break
-            literal = f"{here}/{raw_part}"
-            step = literal if literal in known else f"{here}/*" if f"{here}/*" in known else f"{here}/{part}"
-            there += "/" + raw_part
-            target = self.scope.get((scope, step))
-            if target is None and (scope, step) in self.union:
-                target = self.branch((scope, step), told(there, self.property[scope, step]))
-            if target in self.pointers and i < len(parts) - 1:
-                scope, here = enter(target, there), ""
+        """(scope, pointer) of a leaf; told(raw pointer, property) gives the discriminator there, or None.
+
+        A declared segment is taken as it is, else as the wildcard if that is declared, else as the pointer
+        has it. A field that is not the leaf's own may lead into another scope, where the pointer starts anew.
+        Results that no discriminator took part in are remembered.
+        """
+        key = (kind, raw)
+        if key in self.remembered:
+            return self.remembered[key]
+        asked = False
+
+        def ask(at: str):
+            def f(name: str):
+                nonlocal asked
+                asked = True
+                return told(at, name)
+
+            return f
+
+        def entered(scope: str, at: str) -> str:
+            """The scope, or the branch of it if it is a union at its root."""
+            root = self.start[scope]
+            branch = root.into(ask(at)) if len(root.targets) > 1 else None
+            return branch if branch in self.start else scope
+
+        scope = entered(kind, "")
+        state: _State | None = self.start[scope]
+        way: list[str] = []
+        segments, raws = pointer.split("/")[1:], raw.split("/")[1:]
+        for i, (segment, literal) in enumerate(zip(segments, raws)):
+            nexts = state.leads if state is not None else {}
+            for choice in (literal, "*"):
+                if choice in nexts and nexts[choice].declared:
+                    segment = choice
+                    break
+            state = nexts.get(segment)
+            at = "/" + "/".join(raws[: i + 1])
+            target = state.into(ask(at)) if state is not None and i < len(segments) - 1 else None
+            if target in self.start:
+                scope, way = entered(target, at), []
+                state = self.start[scope]
             else:
-                here = step
-        return scope, here
+                way.append(segment)
+        out = (scope, "".join("/" + x for x in way))
+        if not asked:
+            if len(self.remembered) >= MOST_REMEMBERED:
+                self.remembered.clear()
+            self.remembered[key] = out
+        return out
 
 
 def rule_book(schema_fields: DataFrame) -> Rules:
@@ -114,7 +160,7 @@ def align(leaves: DataFrame, assets: DataFrame, schema_fields: DataFrame) -> Dat
         for pdf in batches:
             scopes, pointers = [], []
             for kind, told_, raw, pointer in zip(pdf["_type"], pdf["_told"], pdf["json_pointer"], pdf["schema_pointer"]):
-                if kind is None or kind not in rules.pointers or raw is None:
+                if kind is None or kind not in rules.start or raw is None:
                     scopes.append(None)
                     pointers.append(pointer)
                     continue
@@ -130,3 +176,12 @@ def align(leaves: DataFrame, assets: DataFrame, schema_fields: DataFrame) -> Dat
 
     rows = leaves.select("asset_id", "json_pointer", "raw_value", "value_kind", schema_pointer(F.col("json_pointer")).alias("schema_pointer")).join(kinds, "asset_id", "left")
     return rows.mapInPandas(run, "asset_id long, json_pointer string, raw_value string, value_kind string, schema_pointer string, schema_scope string")
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(n, changed, without_scope): how many leaves (asset_id, json_pointer, schema_scope, schema_pointer) of after there are, and how many before has not with the same scope and pointer."""
+    key = ["asset_id", "json_pointer", "schema_scope", "schema_pointer"]
+    same = before.select(*key).distinct().withColumn("same", F.lit(True))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+    j = after.select(*key).distinct().alias("l").join(same.alias("r"), on, "left")
+    return j.agg(F.count("*").alias("n"), F.count(F.when(F.col("same").isNull(), 1)).alias("changed"), F.count(F.when(F.col("l.schema_scope").isNull(), 1)).alias("without_scope"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.operators import align, graph, links, search
-from lattica.queries.index import _E, _t
+from lattica.queries.index import _C, _E, _E1, _t
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -75,14 +75,58 @@ def agg16_link_summary(spark, d):
     return links.summary(join32_value_links(spark, d))
 
 
-@query(None)
+_STARRED = r"regexp_replace(regexp_replace(json_pointer, '/\d+(/|$)', '/*\1', 'g'), '/\d+(/|$)', '/*\1', 'g')"
+_ALIGNED = rf"""l AS (SELECT DISTINCT asset_id, json_pointer, raw_value, value_kind, {_STARRED} p FROM candidates),
+t AS (SELECT DISTINCT id asset_id, type FROM assets),
+k AS (SELECT DISTINCT asset_type FROM schema_fields),
+x AS (SELECT l.*, CASE WHEN t.type IN (SELECT asset_type FROM k) THEN t.type END kind, CASE WHEN t.type = 'DropTable' THEN regexp_extract(p, '^/Container(?:/Entries/\*/Container)*(/.*)$', 1) ELSE '' END inner_ FROM l LEFT JOIN t USING (asset_id)),
+al AS (SELECT asset_id, json_pointer, raw_value, value_kind, CASE WHEN inner_ <> '' THEN inner_ ELSE p END schema_pointer, CASE WHEN inner_ <> '' THEN 'common:DropContainer' ELSE kind END schema_scope FROM x)"""
+
+
+def _aligned(spark, d, more: list[tuple] = ()):
+    """The leaves aligned by schema_fields and further fields (asset_type, json_pointer, ref_scope, discriminator_property, discriminator_values)."""
+    c, a, s = _t(spark, d, "candidates", "assets", "schema_fields")
+    if more:
+        s = s.unionByName(spark.createDataFrame(more, "asset_type string, json_pointer string, ref_scope array<string>, discriminator_property string, discriminator_values array<string>"), allowMissingColumns=True)
+    parents = graph.inherits(c, a).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("parent_id"))
+    lineage = a.select("id", "type").distinct().join(parents, "id", "left")
+    return align.align(c.select("asset_id", "json_pointer", "raw_value", "value_kind").distinct(), lineage, s)
+
+
+@query(f"WITH {_ALIGNED} SELECT * FROM al")
 def nst10_align(spark, d):
     """Leaves with the scope and pointer of the declared field they belong to."""
+    return _aligned(spark, d)
+
+
+@query(f"WITH {_ALIGNED}, b AS (SELECT DISTINCT asset_id, json_pointer, schema_scope, schema_pointer FROM candidates), a AS (SELECT DISTINCT asset_id, json_pointer, schema_scope, schema_pointer FROM al) SELECT count(*) n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM b WHERE b.asset_id = a.asset_id AND b.json_pointer = a.json_pointer AND b.schema_pointer = a.schema_pointer AND b.schema_scope IS NOT DISTINCT FROM a.schema_scope)) changed, count(*) FILTER (schema_scope IS NULL) without_scope FROM a")
+def nst13_changes(spark, d):
+    """How many leaves alignment gives another scope or pointer than candidates has."""
+    return align.changes(_t(spark, d, "candidates")[0], _aligned(spark, d))
+
+
+_DROPS, _MOODS = ["Single", "Choice", "Multi"], ["calm", "shy", "wary"]
+
+
+@query(rf"""WITH RECURSIVE {_C}, l AS (SELECT DISTINCT asset_id, json_pointer, raw_value, value_kind, {_STARRED} p FROM candidates),
+up AS (SELECT src, min(dst) dst FROM ({_E1}) GROUP BY 1),
+ch AS (SELECT DISTINCT id, id own, 0 hop FROM assets UNION ALL SELECT ch.id, up.dst, ch.hop + 1 FROM ch JOIN up ON up.src = ch.own WHERE ch.hop < 8),
+told AS (SELECT ch.id asset_id, l.json_pointer at_, arg_min(l.raw_value, (ch.hop, l.raw_value)) v FROM ch JOIN l ON l.asset_id = ch.own WHERE l.value_kind = 'string' AND l.json_pointer IN ('/Container/Type', '/Mood') GROUP BY ALL),
+t AS (SELECT DISTINCT id asset_id, type FROM assets)
+SELECT l.asset_id, l.json_pointer, l.value_kind, CASE WHEN t.type = 'DropTable' AND m.v IN ('Single', 'Choice', 'Multi') AND regexp_matches(p, '^/Container/.') THEN 'drop:' || m.v WHEN t.type = 'CreatureRole' AND r.v IS NOT NULL AND (SELECT min(x) FROM (VALUES ('calm'), ('shy'), ('wary')) z(x) WHERE starts_with(x, r.v)) IS NOT NULL THEN 'role:' || (SELECT arg_min(x, (length(x), x)) FROM (VALUES ('calm'), ('shy'), ('wary')) z(x) WHERE starts_with(x, r.v)) WHEN t.type IN (SELECT asset_type FROM schema_fields) THEN t.type END schema_scope,
+CASE WHEN t.type = 'DropTable' AND m.v IN ('Single', 'Choice', 'Multi') AND regexp_matches(p, '^/Container/.') THEN regexp_replace(p, '^/Container', '') ELSE p END schema_pointer
+FROM l LEFT JOIN t USING (asset_id) LEFT JOIN told m ON m.asset_id = l.asset_id AND m.at_ = '/Container/Type' LEFT JOIN told r ON r.asset_id = l.asset_id AND r.at_ = '/Mood'""")
+def nst11_unions(spark, d):
+    """Alignment across unions: drop tables by the constants of their container's type, roles, a union at their root, by the mood
+    they or the nearest of their parents have, which begins a branch's name."""
     c, a, s = _t(spark, d, "candidates", "assets", "schema_fields")
+    s = s.where("not (asset_type = 'DropTable' and json_pointer = '/Container')")
+    union = [("DropTable", "/Container", [f"drop:{x}" for x in _DROPS], "Type", _DROPS), ("CreatureRole", "", [f"role:{x}" for x in _MOODS], "Mood", None)]
+    union += [(f"drop:{x}", "/Type", None, None, None) for x in _DROPS] + [(f"role:{x}", "/Mood", None, None, None) for x in _MOODS]
+    s = s.unionByName(spark.createDataFrame(union, "asset_type string, json_pointer string, ref_scope array<string>, discriminator_property string, discriminator_values array<string>"), allowMissingColumns=True)
     parents = graph.inherits(c, a).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("parent_id"))
     lineage = a.select("id", "type").distinct().join(parents, "id", "left")
-    rows = c.select("asset_id", "json_pointer", "raw_value", "value_kind").distinct()
-    return align.align(rows, lineage, s)
+    return align.align(c.select("asset_id", "json_pointer", "raw_value", "value_kind").distinct(), lineage, s).select("asset_id", "json_pointer", "value_kind", "schema_scope", "schema_pointer")
 
 
 @query(f"WITH {_E} SELECT src asset_id, count(*) n_out, count(DISTINCT dst_kind) n_kinds FROM e GROUP BY 1")
