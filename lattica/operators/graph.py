@@ -203,3 +203,11 @@ def inbound(edges: DataFrame, candidates: DataFrame, assets: DataFrame, schema_f
     s = assets.select(F.col("id").alias("src"), "logical_id", "type").distinct()
     t = assets.select(F.col("id").alias("dst"), F.col("logical_id").alias("target"), F.col("type").alias("target_type")).distinct()
     return e.join(s, "src").join(t, "dst").select("target", "target_type", "logical_id", "type", "kind", "json_pointer", "confidence").distinct()
+
+
+def overlap(edges: DataFrame, assets: DataFrame) -> DataFrame:
+    """(logical_id, type, shared): how many of the places (src, json_pointer) that refer to an asset also refer to a namesake of another type."""
+    t = assets.select(F.col("id").alias("dst"), "logical_id", "type").distinct()
+    g = edges.where("dst_kind = 'asset'").join(t, "dst").select("src", "json_pointer", "logical_id", "type").distinct()
+    kinds = g.groupBy("src", "json_pointer", "logical_id").agg(F.countDistinct(F.struct("type")).alias("k")).where("k > 1").select("src", F.coalesce("json_pointer", F.lit("")).alias("place"), "logical_id")
+    return g.withColumn("place", F.coalesce("json_pointer", F.lit(""))).join(kinds, ["src", "place", "logical_id"], "left_semi").groupBy("logical_id", "type").agg(F.count("*").alias("shared"))

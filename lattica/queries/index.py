@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions import text as T
 from lattica.functions.canonical import schema_pointer
 from lattica.operators import graph, profile
+from lattica.plans import drafts
 from lattica.session import table
 
 QUERIES: dict = {}
@@ -162,10 +163,7 @@ def join18_overlap(spark, d):
     c, a, s = _t(spark, d, "candidates", "assets", "schema_fields")
     e = _edges(spark, d)
     bad = graph.contradicted(e, c, a, s)
-    t = a.select(F.col("id").alias("dst"), "logical_id", "type").distinct()
-    g = e.where("dst_kind = 'asset'").join(bad, ["src", "dst", "json_pointer"], "left_anti").join(t, "dst").select("src", "json_pointer", "logical_id", "type").distinct()
-    kinds = g.groupBy("src", "json_pointer", "logical_id").agg(F.countDistinct(F.struct("type")).alias("k")).where("k > 1")
-    return g.join(kinds, ["src", "json_pointer", "logical_id"], "left_semi").groupBy("logical_id", "type").agg(F.count("*").alias("shared"))
+    return graph.overlap(e.join(bad, ["src", "dst", "json_pointer"], "left_anti"), a)
 
 
 @query("SELECT l.key, count(DISTINCT e.src) n_users, min(a.logical_id) first_user FROM (SELECT DISTINCT src, dst FROM edges WHERE dst_kind = 'lang_key') e JOIN lang_keys l ON l.id = e.dst JOIN (SELECT DISTINCT id, logical_id FROM assets) a ON a.id = e.src GROUP BY 1")
@@ -224,11 +222,8 @@ def join30_parent_map(spark, d):
 def join33_type_inference(spark, d):
     """Each asset's type as the majority of its deepest directory has it."""
     (a,) = _t(spark, d, "assets")
-    parts = F.split("path", "/")
-    x = a.select("id", "path", "type").distinct().select("id", "type", parts.alias("p")).where(F.size("p") > 1).select("id", "type", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("n"), "p")
-    x = x.select("id", "type", "n", F.array_join(F.slice("p", F.lit(1), F.col("n")), "/").alias("dir"))
-    votes = x.where("type is not null").groupBy("dir", "n", "type").agg(F.count("*").alias("c")).groupBy("dir", "n").agg(F.max_by("type", F.struct("c", "type")).alias("vote"))
-    return x.select("id", "dir", "n").join(votes, ["dir", "n"]).groupBy("id").agg(F.max_by("vote", "n").alias("inferred"))
+    a = a.select("id", "path", "type").distinct()
+    return drafts.infer_types(a.select("id", "path"), a)
 
 
 @query("WITH k AS (SELECT locale, key, max_by(value, (pack_id, id)) value FROM lang_keys GROUP BY ALL) SELECT key, count(*) n_locales, max(CASE WHEN locale = 'en-US' THEN value END) english, string_agg(locale, ',' ORDER BY locale) locales FROM k GROUP BY 1")

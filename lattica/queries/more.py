@@ -136,14 +136,6 @@ def win03_scaffolding_last(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy("scaffold", "logical_id", "type")).cast("long"))
 
 
-@query("SELECT type, count(*) n FROM (SELECT id, type FROM (SELECT DISTINCT id, type FROM assets WHERE removed_at IS NULL) UNION ALL SELECT -id, type FROM (SELECT DISTINCT id, type FROM assets WHERE removed_at IS NOT NULL)) GROUP BY 1")
-def set04_overlay(spark, d):
-    """Two layers seen as one: the live assets, and drafts (here the removed ones, with ids of their own)."""
-    (a,) = _t(spark, d, "assets")
-    live = a.where("removed_at is null").select("id", "type").distinct()
-    return live.unionByName(a.where("removed_at is not null").select((-F.col("id")).alias("id"), "type").distinct()).groupBy("type").agg(F.count("*").alias("n"))
-
-
 @query("SELECT DISTINCT logical_id FROM assets WHERE logical_id NOT IN (SELECT a.logical_id FROM assets a JOIN edges e ON e.src = a.id WHERE e.dst_kind = 'lang_key')")
 def set06_without_text(spark, d):
     """Names that no text can find: none of their assets has a language key."""
