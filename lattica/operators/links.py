@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.text import parent_pointer
-
 
 @dataclass(frozen=True)
 class ValueLink:
@@ -29,11 +27,25 @@ def value_links(candidates: DataFrame, links: list[ValueLink]) -> DataFrame:
 
 
 def summary(links: DataFrame) -> DataFrame:
-    """(link, n_declared, n_values, n_referenced, n_resolved) of each link."""
+    """(link, n_declared, n_values, n_referenced, n_resolved, unresolved) of each link; unresolved lists the distinct values that nothing declares."""
     d, r = F.col("role") == "declared", F.col("role") == "referenced"
     return links.groupBy("link").agg(
-        F.count(F.when(d, 1)).alias("n_declared"), F.countDistinct(F.when(d, F.col("value"))).alias("n_values"), F.count(F.when(r, 1)).alias("n_referenced"), F.count(F.when(r & F.col("resolved"), 1)).alias("n_resolved")
-    )
+        F.count(F.when(d, 1)).alias("n_declared"), F.countDistinct(F.when(d, F.col("value"))).alias("n_values"), F.count(F.when(r, 1)).alias("n_referenced"), F.count(F.when(r & F.col("resolved"), 1)).alias("n_resolved"),
+        F.array_sort(F.collect_set(F.when(r & ~F.col("resolved"), F.col("value")))).alias("unresolved"),
+    )
+
+
+def who_uses(links: DataFrame, assets: DataFrame, link: str, value: str, role: str) -> DataFrame:
+    """(logical_id, type, json_pointer) of the assets that declare or refer to a value by a link."""
+    at = links.where((F.col("link") == link) & (F.col("value") == value) & (F.col("role") == role)).select(F.col("asset_id").alias("id"), "json_pointer").distinct()
+    return at.join(assets.select("id", "logical_id", "type"), "id").select("logical_id", "type", "json_pointer").distinct()
+
+
+def sites(links: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(schema_scope, schema_pointer, n, example): the fields at which a link's places stand, and how many of them."""
+    c = candidates.select("asset_id", "json_pointer", "schema_scope", "schema_pointer").distinct()
+    j = links.select("asset_id", "json_pointer").distinct().join(c, ["asset_id", "json_pointer"])
+    return j.groupBy("schema_scope", "schema_pointer").agg(F.countDistinct("asset_id", "json_pointer").alias("n"), F.min("json_pointer").alias("example"))
 
 
 def enclosing(leaves: DataFrame, holders: DataFrame) -> DataFrame:
@@ -45,11 +57,3 @@ def enclosing(leaves: DataFrame, holders: DataFrame) -> DataFrame:
     prefixes = leaves.withColumn("_n", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn("at", F.array_join(F.slice(parts, F.lit(1), F.col("_n")), "/"))
     best = prefixes.join(holders.select("asset_id", "at", "holder").distinct(), ["asset_id", "at"]).groupBy("asset_id", "json_pointer").agg(F.max_by("holder", F.struct("_n", "holder")).alias("holder"))
     return leaves.join(best, ["asset_id", "json_pointer"], "left")
-
-
-def stations(candidates: DataFrame) -> DataFrame:
-    """(station, asset_id, at, groups) of the stations that plans require: each /Bench/*/Id with the groups beside it."""
-    c = candidates.where("schema_scope = 'CraftPlan'").select("asset_id", "json_pointer", "schema_pointer", "raw_value").distinct()
-    ids = c.where("schema_pointer = '/Bench/*/Id'").select("asset_id", parent_pointer(F.col("json_pointer")).alias("at"), F.col("raw_value").alias("station"))
-    groups = c.where("schema_pointer = '/Bench/*/Groups/*'").select("asset_id", parent_pointer(parent_pointer(F.col("json_pointer"))).alias("at"), "raw_value").groupBy("asset_id", "at").agg(F.array_join(F.array_sort(F.collect_set("raw_value")), ",").alias("groups"))
-    return ids.join(groups, ["asset_id", "at"], "left").select("station", "asset_id", "at", "groups")

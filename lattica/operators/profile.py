@@ -26,9 +26,12 @@ def field_stats(candidates: DataFrame) -> DataFrame:
     return counts.join(card, key).join(few, key, "left")
 
 
-def inferred_enums(stats: DataFrame) -> DataFrame:
-    """Fields seen often enough with few enough values."""
-    return stats.where((F.col("cardinality").between(1, MOST_VALUES)) & (F.col("n") >= LEAST_SEEN)).select("asset_type", "json_pointer", F.col("observed_values").alias("enum_values"))
+def inferred_enums(stats: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """(asset_type, json_pointer, enum_values) of declared fields without a declared enumeration that were seen often enough with few enough values."""
+    s = schema_fields if "enum_values" in schema_fields.columns else schema_fields.withColumn("enum_values", F.lit(None).cast("array<string>"))
+    free = s.where(F.col("enum_values").isNull() | (F.size("enum_values") == 0)).select("asset_type", "json_pointer").distinct()
+    often = stats.where((F.col("cardinality").between(1, MOST_VALUES)) & (F.col("n") >= LEAST_SEEN))
+    return often.join(free, ["asset_type", "json_pointer"], "left_semi").select("asset_type", "json_pointer", F.col("observed_values").alias("enum_values"))
 
 
 def target_types(candidates: DataFrame, edges: DataFrame, assets: DataFrame, schema_fields: DataFrame) -> DataFrame:

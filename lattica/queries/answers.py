@@ -70,11 +70,6 @@ def join32_value_links(spark, d):
     return links.value_links(_t(spark, d, "candidates")[0], [link])
 
 
-@query(None)
-def agg16_link_summary(spark, d):
-    return links.summary(join32_value_links(spark, d))
-
-
 _STARRED = r"regexp_replace(regexp_replace(json_pointer, '/\d+(/|$)', '/*\1', 'g'), '/\d+(/|$)', '/*\1', 'g')"
 _ALIGNED = rf"""l AS (SELECT DISTINCT asset_id, json_pointer, raw_value, value_kind, {_STARRED} p FROM candidates),
 t AS (SELECT DISTINCT id asset_id, type FROM assets),
@@ -130,6 +125,6 @@ def nst11_unions(spark, d):
 
 
 @query(f"WITH {_E} SELECT src asset_id, count(*) n_out, count(DISTINCT dst_kind) n_kinds FROM e GROUP BY 1")
-def agg14_out_degree(spark, d):
+def agg15_out_degree(spark, d):
     e = graph.resolve(*_t(spark, d, "candidates", "assets", "files", "lang_keys", "schema_fields"))
     return e.groupBy(F.col("src").alias("asset_id")).agg(F.count("*").alias("n_out"), F.countDistinct("dst_kind").alias("n_kinds"))

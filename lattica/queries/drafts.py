@@ -106,7 +106,7 @@ def set03_search_layers(spark, d):
 _DROP_POINTERS = rf"SELECT DISTINCT 'DropTable' asset_type, {_STARRED} json_pointer FROM candidates JOIN (SELECT DISTINCT id FROM assets WHERE type = 'DropTable') a ON a.id = asset_id"
 
 
-@query(rf"""WITH q AS ({_DROP_POINTERS}), k AS (SELECT asset_type, json_pointer FROM schema_fields UNION SELECT asset_type, json_pointer FROM field_stats), i AS (SELECT *, regexp_extract(json_pointer, '^/Container(?:/Entries/\*/Container){{0,8}}(/.*)$', 1) rest FROM q WHERE json_pointer <> '/Container') SELECT asset_type, json_pointer, '/Container' AS "at", 'common:DropContainer' AS "into", CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.asset_type = 'common:DropContainer' AND k.json_pointer = rest) THEN rest ELSE '' END continue_at FROM i WHERE starts_with(json_pointer, '/Container/')""")
+@query(rf"""WITH q AS ({_DROP_POINTERS}), k AS (SELECT asset_type, json_pointer FROM schema_fields UNION SELECT asset_type, json_pointer FROM field_stats), i AS (SELECT *, regexp_extract(json_pointer, '^/Container(?:/Entries(?:/\*)?/Container){{0,8}}(/.*)$', 1) rest FROM q WHERE json_pointer <> '/Container') SELECT asset_type, json_pointer, '/Container' AS "at", 'common:DropContainer' AS "into", CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.asset_type = 'common:DropContainer' AND k.json_pointer = rest) THEN rest ELSE '' END continue_at FROM i WHERE starts_with(json_pointer, '/Container/')""")
 def nst17_crossings(spark, d):
     """Where the pointers of drop tables go on that the type itself does not declare."""
     c, a, s, f = _t(spark, d, "candidates", "assets", "schema_fields", "field_stats")

@@ -252,11 +252,6 @@ def agg03_observed_values(spark, d):
     return profile.field_stats(*_t(spark, d, "candidates")).select("asset_type", "json_pointer", F.array_join("observed_values", "|").alias("observed_values"))
 
 
-@query(f"WITH {_STATS} SELECT asset_type, json_pointer, array_to_string(vals, '|') enum_values FROM st WHERE cardinality BETWEEN 1 AND 40 AND n >= 8")
-def agg04_inferred_enum(spark, d):
-    return profile.inferred_enums(profile.field_stats(*_t(spark, d, "candidates"))).select("asset_type", "json_pointer", F.array_join("enum_values", "|").alias("enum_values"))
-
-
 @query(f"WITH {_C}, b AS (SELECT DISTINCT c.asset_id, c.json_pointer, c.raw_value, c.schema_scope, c.schema_pointer FROM c JOIN sf ON sf.asset_type = c.schema_scope AND sf.json_pointer = c.schema_pointer WHERE NOT EXISTS (SELECT 1 FROM a t WHERE t.logical_id = c.raw_value AND t.type = sf.reference_target)), g AS (SELECT schema_scope asset_type, schema_pointer field, raw_value, count(*) n FROM b GROUP BY ALL) SELECT asset_type, field, raw_value, n, total, distinct_values FROM (SELECT *, row_number() OVER (PARTITION BY asset_type, field ORDER BY n DESC, raw_value) k, sum(n) OVER (PARTITION BY asset_type, field)::BIGINT total, count(*) OVER (PARTITION BY asset_type, field) distinct_values FROM g) WHERE k <= 8")
 def agg05_broken_refs(spark, d):
     """The eight commonest values that break each field's declared references (a top-k report)."""
@@ -277,13 +272,6 @@ def agg05_broken_refs(spark, d):
     )
 
 
-@query(f"WITH {_ROWS} SELECT raw_value, count(*) occurrences, count(DISTINCT asset_id) n_assets, count(DISTINCT (asset_type, json_pointer)) n_fields FROM r GROUP BY 1")
-def agg06_value_usage(spark, d):
-    (c,) = _t(spark, d, "candidates")
-    rows = c.where("schema_scope is not null").select("id", "asset_id", "schema_scope", "schema_pointer", "raw_value").distinct()
-    return rows.groupBy("raw_value").agg(F.count("*").alias("occurrences"), F.countDistinct("asset_id").alias("n_assets"), F.countDistinct(F.struct("schema_scope", "schema_pointer")).alias("n_fields"))
-
-
 @query("WITH f AS (SELECT asset_type type, count(*) n_fields FROM schema_fields WHERE json_pointer <> '' GROUP BY 1) SELECT a.type, count(DISTINCT a.logical_id) n_assets, min(a.path) first_path, max(a.path) last_path, coalesce(any_value(f.n_fields), 0) n_fields FROM assets a LEFT JOIN f ON f.type = a.type WHERE a.type IS NOT NULL GROUP BY a.type")
 def agg07_types(spark, d):
     a, s = _t(spark, d, "assets", "schema_fields")

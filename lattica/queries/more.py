@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
@@ -127,15 +126,6 @@ def win02_strictest(spark, d):
     return hits.groupBy("logical_id", "type").agg(F.min("level").alias("level"))
 
 
-@query("SELECT logical_id, type, scaffold, row_number() OVER (ORDER BY scaffold, logical_id, type) AS \"place\" FROM (SELECT DISTINCT logical_id, type, logical_id LIKE 'Toy\\_%' ESCAPE '\\' scaffold FROM assets WHERE type IS NOT NULL AND logical_id LIKE '%Raft%' ORDER BY ALL) ORDER BY scaffold, logical_id, type LIMIT 50")
-def win03_scaffolding_last(spark, d):
-    """Names of one kind moved behind all others, the order kept otherwise (a top-k report)."""
-    (a,) = _t(spark, d, "assets")
-    x = a.where("type is not null and logical_id like '%Raft%'").select("logical_id", "type", F.col("logical_id").startswith("Toy_").alias("scaffold")).distinct()
-    top = x.orderBy("scaffold", "logical_id", "type").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("scaffold", "logical_id", "type")).cast("long"))
-
-
 @query("SELECT DISTINCT logical_id FROM assets WHERE logical_id NOT IN (SELECT a.logical_id FROM assets a JOIN edges e ON e.src = a.id WHERE e.dst_kind = 'lang_key')")
 def set06_without_text(spark, d):
     """Names that no text can find: none of their assets has a language key."""
@@ -152,7 +142,7 @@ def ord03_confidence(spark, d):
 
 
 @query("WITH p AS (SELECT a.id, a.logical_id, a.type, p.kind = 'vanilla' vanilla FROM (SELECT DISTINCT id, pack_id, logical_id, type FROM assets) a JOIN packs p ON p.id = a.pack_id) SELECT logical_id, count(DISTINCT type) n_types, bool_or(vanilla) in_vanilla, bool_or(NOT vanilla) third_party FROM p GROUP BY 1")
-def op01_owners(spark, d):
+def agg07_owners(spark, d):
     """What the third-party and ambiguity caveats are computed from."""
     a, p = _t(spark, d, "assets", "packs")
     j = a.select("id", "pack_id", "logical_id", "type").distinct().join(small_side(p.select(F.col("id").alias("pack_id"), (F.col("kind") == "vanilla").alias("vanilla"))), "pack_id")
@@ -160,7 +150,7 @@ def op01_owners(spark, d):
 
 
 @query("WITH e AS (SELECT DISTINCT src, dst FROM edges WHERE dst_kind = 'asset'), a AS (SELECT DISTINCT id, logical_id FROM assets), d AS (SELECT a.logical_id, count(DISTINCT e.src) n FROM e JOIN a ON a.id = e.dst GROUP BY 1) SELECT a.logical_id, coalesce(any_value(d.n), 0) n_inbound FROM a LEFT JOIN d USING (logical_id) GROUP BY 1")
-def op06_inbound_counts(spark, d):
+def agg15_inbound_counts(spark, d):
     """How many assets refer to each name."""
     e, a = _t(spark, d, "edges", "assets")
     a = a.select("id", "logical_id").distinct()
@@ -169,7 +159,7 @@ def op06_inbound_counts(spark, d):
 
 
 @query(f"WITH {_C}, u AS (SELECT DISTINCT c.asset_id, c.json_pointer, c.raw_value FROM c JOIN a ON a.logical_id = c.raw_value AND a.is_effective) SELECT raw_value token, count(*) n_sites, count(DISTINCT asset_id) n_assets FROM u GROUP BY 1")
-def op14_value_sites(spark, d):
+def agg06_value_sites(spark, d):
     """Where effective names occur as values."""
     c, a = _t(spark, d, "candidates", "assets")
     names = a.where("is_effective").select(F.col("logical_id").alias("raw_value")).distinct()
