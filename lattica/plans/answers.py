@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.canonical import trimmed
 from lattica.functions.text import is_container, translation_key
 from lattica.operators import crossings, graph, inherit, profile, search
 from lattica.operators import stations as stations_
@@ -52,7 +53,7 @@ def shared_folder_of(first: Column, last: Column) -> Column:
 
 def numeric_order(values: Column) -> Column:
     """A list of texts in the order of their numbers if all are numbers, else as it is."""
-    number = F.transform(values, lambda v: F.struct(F.trim(v).try_cast("double").alias("n"), v.alias("v")))
+    number = F.transform(values, lambda v: F.struct(trimmed(v).try_cast("double").alias("n"), v.alias("v")))
     every = F.forall(number, lambda x: x["n"].isNotNull() & ~F.isnan(x["n"]) & (F.abs(x["n"]) != float("inf")))
     return F.when(every, F.transform(F.array_sort(number), lambda x: x["v"])).otherwise(values)
 

@@ -26,9 +26,9 @@ def query(sql: str | None):
 _WORDS = r"list_filter(regexp_split_to_array(lower(strip_accents(replace(replace(value, 'Ґ', 'Г'), 'ґ', 'г'))), '[^\pL\pN]+'), lambda x: x <> '')"
 
 
-@query(f"WITH k AS (SELECT DISTINCT key, locale, value FROM lang_keys WHERE locale IN ('en-US', 'fr-FR', 'es-ES', 'de-DE')), w AS (SELECT key, locale, {_WORDS} ws FROM k), l AS (SELECT key, locale, CASE WHEN len(list_filter(ws, lambda x: starts_with(x, 'rusted'))) > 0 THEN 0 WHEN len(list_filter(ws, lambda x: starts_with(x, 'ruste'))) > 0 THEN 1 WHEN len(list_filter(ws, lambda x: starts_with(x, 'rust'))) > 0 THEN 2 END a, CASE WHEN len(list_filter(ws, lambda x: starts_with(x, 'lanterns'))) > 0 THEN 0 WHEN len(list_filter(ws, lambda x: starts_with(x, 'lantern'))) > 0 THEN 1 WHEN len(list_filter(ws, lambda x: starts_with(x, 'lanter'))) > 0 THEN 2 WHEN len(list_filter(ws, lambda x: starts_with(x, 'lante'))) > 0 THEN 3 END b FROM w) SELECT key, locale, b::INTEGER level FROM l WHERE b IS NOT NULL")
+@query(f"WITH k AS (SELECT DISTINCT key, locale, value FROM lang_keys), w AS (SELECT key, locale, {_WORDS} ws FROM k), l AS (SELECT key, locale, CASE WHEN len(list_filter(ws, lambda x: starts_with(x, 'rusted'))) > 0 THEN 0 WHEN len(list_filter(ws, lambda x: starts_with(x, 'ruste'))) > 0 THEN 1 WHEN len(list_filter(ws, lambda x: starts_with(x, 'rust'))) > 0 THEN 2 END a, CASE WHEN len(list_filter(ws, lambda x: starts_with(x, 'lanterns'))) > 0 THEN 0 WHEN len(list_filter(ws, lambda x: starts_with(x, 'lantern'))) > 0 THEN 1 WHEN len(list_filter(ws, lambda x: starts_with(x, 'lanter'))) > 0 THEN 2 WHEN len(list_filter(ws, lambda x: starts_with(x, 'lante'))) > 0 THEN 3 END b FROM w) SELECT key, locale, b::INTEGER level FROM l WHERE b IS NOT NULL")
 def fts05_matches(spark, d):
-    """Texts of all locales in which a word begins like `lanterns`, with the letters cut off. The SQL holds for en-US, fr-FR, es-ES and de-DE only."""
+    """Texts of all locales in which a word begins like `lanterns`, with the letters cut off."""
     (k,) = _t(spark, d, "lang_keys")
     k = k.select("key", "locale", "value").distinct()
     return search.matches(k, ["value"], ["lanterns"]).select("key", "locale", "level")
@@ -48,11 +48,6 @@ def fts05_search_batch(spark, d):
     return search.search_batch(search.search_docs(a, e, k), k.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("value").alias("text")), 20)
 
 
-@query(None)
-def fts06_schema_search(spark, d):
-    return search.search_fields(_t(spark, d, "schema_fields")[0], "item reference quantity")
-
-
 @query("SELECT DISTINCT logical_id, type, lower(logical_id) = 'glass_lantern' exact FROM assets WHERE logical_id ILIKE '%glass_lantern%'")
 def fts08_literal(spark, d):
     return search.literal(_t(spark, d, "assets")[0], "glass_lantern")

@@ -85,9 +85,9 @@ def win06_last_wins(spark, d):
     return k.groupBy("locale", "key").agg(F.max_by("value", F.struct("pack_id", "id")).alias("value"))
 
 
-@query("WITH s AS (SELECT DISTINCT snapshot_no, logical_id, type, max(path) OVER (PARTITION BY snapshot_no, logical_id, type) path FROM asset_snapshots WHERE snapshot_no IN (5, 6) AND type IS NOT NULL) SELECT logical_id, type, max(CASE WHEN snapshot_no = 5 THEN path END) first_path, max_by(path, snapshot_no) last_path FROM s GROUP BY ALL")
+@query("WITH s AS (SELECT snapshot_no, logical_id, type, max(path) path FROM asset_snapshots GROUP BY ALL) SELECT logical_id, type, arg_min(path, snapshot_no) first_path, arg_max(path, snapshot_no) last_path FROM s GROUP BY ALL")
 def snk02_upsert(spark, d):
-    """All deliveries merged in the order of snapshot_no: one column keeps the first value, one takes the last. The SQL holds for snapshots 5 and 6 only."""
+    """All deliveries merged in the order of snapshot_no: one column keeps the first value, one takes the last."""
     (s,) = _t(spark, d, "asset_snapshots")
     s = s.groupBy("snapshot_no", "logical_id", "type").agg(F.max("path").alias("first_path")).withColumn("last_path", F.col("first_path"))
     return graph.merged(s, ["logical_id", "type"], "snapshot_no", {"first_path": "first", "last_path": "last"})

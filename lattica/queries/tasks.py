@@ -158,6 +158,11 @@ def fts06_widened(spark, d):
     return search.search_fields(_t(spark, d, "schema_fields")[0], "zzzzz weight")
 
 
+@query(f"WITH w AS (SELECT asset_type, json_pointer, {_FIELD_WORDS} ws FROM schema_fields) SELECT asset_type, json_pointer, 0::INTEGER AS \"level\", true widened FROM w WHERE len(list_filter(ws, lambda x: starts_with(x, 'item') OR starts_with(x, 'reference') OR starts_with(x, 'quantity'))) > 0")
+def fts06_schema_search(spark, d):
+    return search.search_fields(_t(spark, d, "schema_fields")[0], "item reference quantity")
+
+
 @query("WITH k AS (SELECT DISTINCT key, locale, value, CASE WHEN key = 'lantern' THEN 'key' WHEN concat_ws('.', root, key) = 'lantern' THEN 'reference' WHEN key ILIKE '%lantern%' THEN 'in key' WHEN value ILIKE '%lantern%' THEN 'in value' END how FROM lang_keys), h AS (SELECT * FROM k WHERE how IS NOT NULL), u AS (SELECT l.key, count(DISTINCT e.src) n FROM edges e JOIN lang_keys l ON l.id = e.dst WHERE e.dst_kind = 'lang_key' GROUP BY 1), r AS (SELECT key, min(root || '.' || key) reference FROM lang_keys GROUP BY 1) SELECT h.key, h.locale, h.value, h.how, r.reference, coalesce(u.n, 0) n_users, CASE WHEN (SELECT count(*) FROM h) > 20 THEN 'truncated' ELSE '' END caveats FROM h LEFT JOIN u USING (key) LEFT JOIN r USING (key) ORDER BY length(key), key, locale, value LIMIT 20")
 def op08_search_lang(spark, d):
     return _index(spark, d).search_lang("lantern").table()

@@ -234,7 +234,10 @@ def test_links_and_prefixes(spark):
     c = spark.createDataFrame([leaf(1, "/Id", "Furnace", "Bench"), leaf(2, "/Req", "Furnace", "Need"), leaf(3, "/Req", "Nothing", "Need")], CANDIDATE)
     got = links.value_links(c, [links.ValueLink("bench", (("Bench", "/Id"),), (("Need", "/Req"),))])
     assert {(r.value, r.role, r.resolved) for r in got.collect()} == {("Furnace", "declared", True), ("Furnace", "referenced", True), ("Nothing", "referenced", False)}
-    assert tuple(links.summary(got).first()) == ("bench", 1, 1, 2, 1)
+    assert tuple(links.summary(got).first()) == ("bench", 1, 1, 2, 1, ["Nothing"])
+    owners = spark.createDataFrame([(1, "Oven", "B"), (2, "Pie", "I"), (3, "Pot", None)], "id long, logical_id string, type string")
+    assert [tuple(r) for r in links.who_uses(got, owners, "bench", "Nothing", "referenced").collect()] == [("Pot", None, "/Req")]
+    assert [tuple(r) for r in links.sites(got.where("role = 'referenced'"), c).collect()] == [("Need", "/Req", 2, "/Req")]
     leaves = spark.createDataFrame([(1, "/a/b/c"), (1, "/ab/c"), (2, "/a/b")], "asset_id long, json_pointer string")
     holders = spark.createDataFrame([(1, "/a", "outer"), (1, "/a/b", "inner")], "asset_id long, at string, holder string")
     assert {(r.asset_id, r.json_pointer): r.holder for r in links.enclosing(leaves, holders).collect()} == {(1, "/a/b/c"): "inner", (1, "/ab/c"): None, (2, "/a/b"): None}
@@ -245,7 +248,10 @@ def test_profile(spark):
     c = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, " + CANDIDATE)
     s = {r.json_pointer: r for r in profile.field_stats(c).collect()}
     assert (s["/Q"].n, s["/Q"].cardinality, s["/Q"].observed_values) == (9, 3, ["a", "b", "c"]) and s["/N"].observed_values is None and s["/N"].cardinality == 50
-    assert [r.json_pointer for r in profile.inferred_enums(profile.field_stats(c)).collect()] == ["/Q"]
+    fields = spark.createDataFrame([("Item", "/Q", None), ("Item", "/N", None)], "asset_type string, json_pointer string, enum_values array<string>")
+    assert [r.json_pointer for r in profile.inferred_enums(profile.field_stats(c), fields).collect()] == ["/Q"]
+    declared_ = spark.createDataFrame([("Item", "/Q", ["a"])], "asset_type string, json_pointer string, enum_values array<string>")
+    assert profile.inferred_enums(profile.field_stats(c), declared_).count() == 0 and profile.inferred_enums(profile.field_stats(c), fields.where("json_pointer = '/N'")).count() == 0
     assert profile.field_stats(c.limit(0)).count() == 0
 
 
