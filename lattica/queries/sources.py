@@ -286,3 +286,31 @@ def prj10_trimmed(spark, d):
     """Values that carry white space at an end, without it."""
     (c,) = _t(spark, d, "candidates")
     return c.select("id", "raw_value", trimmed(F.col("raw_value")).alias("value")).where("value != raw_value").select("id", "value").distinct()
+
+
+_BUILT = f"""WITH d AS (SELECT DISTINCT asset_id, doc FROM asset_docs WHERE doc IS NOT NULL), a AS (SELECT DISTINCT id, type, path FROM assets WHERE id IN (SELECT asset_id FROM d)),
+l AS (SELECT key, root, locale, arg_max(value, id) FROM lang_keys WHERE root IS NOT NULL AND locale <> '' GROUP BY ALL)"""
+
+
+@query(f"{_BUILT} SELECT 'assets' what, count(DISTINCT id) n FROM a UNION ALL SELECT 'typed', count(DISTINCT id) FROM a WHERE type IS NOT NULL UNION ALL SELECT 'files', count(DISTINCT path) FROM files UNION ALL SELECT 'lang_keys', count(*) FROM l UNION ALL SELECT 'search names', count(DISTINCT id) FROM a")
+def op11_index(spark, d):
+    """An index built from archives that hold the tables' documents, files and texts: what it reports of itself."""
+    from lattica.plans import build
+
+    docs, a, f, k, s = _t(spark, d, "asset_docs", "assets", "files", "lang_keys", "schema_fields")
+    last = docs.where("doc is not null").groupBy(F.col("asset_id").alias("id")).agg(F.max_by("doc", F.struct("read_at", "doc")).alias("content"))
+    kinds = a.select("id", F.coalesce("type", F.lit("Loose")).alias("kind")).distinct()
+    assets = last.join(kinds, "id").select(F.concat(F.lit("Server/"), "kind", F.lit("/"), "id", F.lit(".json")).alias("path"), "content")
+    texts = k.where("root is not null and locale != ''").groupBy("key", "root", "locale").agg(F.max_by("value", "id").alias("value"), F.floor(F.min("id") / 1000).alias("part"))
+    lines = texts.groupBy("locale", "root", "part").agg(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit(" = "), "value"))), "\n").alias("content"))
+    lines = lines.select(F.concat(F.lit("Server/Languages/"), "locale", F.lit("/"), "part", F.lit("/"), "root", F.lit(".lang")).alias("path"), "content")
+    every = assets.unionByName(lines).unionByName(f.select("path", F.lit("").alias("content")).distinct())
+    paths = archives.write(every.repartition("path"), _folder(spark, "pack"))
+    types = [r[0] for r in a.where("type is not null").select("type").distinct().collect()]
+    report = build.build(spark, [(p, "vanilla", 3) for p in paths], s, [(f"Server/{t}/", "", t) for t in types], shared_folder(spark, f"index-{uuid.uuid4().hex}"))
+    names = spark.read.parquet(_index_of(report) + "/search_docs.parquet").where("locale = ''").agg(F.count("*").alias("n")).select(F.lit("search names").alias("what"), "n")
+    return report.where("what in ('assets', 'typed', 'files', 'lang_keys')").unionByName(names)
+
+
+def _index_of(report: DataFrame) -> str:
+    return report.inputFiles()[0].rsplit("/meta.parquet", 1)[0]
