@@ -46,7 +46,7 @@ def postings(docs: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
 
 def query_terms(spark, query: str) -> list[str]:
     """The words of a query; neighbouring ideographs are one phrase, joined by spaces."""
-    words = spark.range(1).select(T.terms(F.lit(query)).alias("t")).first()["t"]
+    words = spark.createDataFrame([(query,)], "q string").select(T.terms(F.col("q")).alias("t")).first()["t"]
     out: list[str] = []
     phrase = False
     for w in words:
@@ -105,13 +105,57 @@ def search(docs: DataFrame, query: str, limit: int = 20, kind: str | None = None
     """
     terms = query_terms(docs.sparkSession, query)
     found = matches(docs if kind is None else docs.where(F.col("type") == kind), ["display_name", "description"], terms)
-    per = Window.partitionBy("logical_id", "type").orderBy("level", F.col("locale") == "", F.desc("score"))
-    best = found.withColumn("_n", F.row_number().over(per)).where("_n = 1")
-    top = best.orderBy(T.is_scaffolding(F.col("logical_id")), "level", F.col("locale") == "", F.desc("score"), "logical_id", "type").limit(max(10 * limit, 100))
-    rows = [r.asDict() for r in top.select("logical_id", "type", "level", "score").collect()]
-    out = interleave(rows, _family)[:limit]
-    data = [(i, r["logical_id"], r["type"], r["level"], r["score"]) for i, r in enumerate(out)]
-    return docs.sparkSession.createDataFrame(data, "rank int, logical_id string, type string, level int, score double")
+    return _ranked(found, limit)
+
+
+def search_index(docs: DataFrame, postings_: DataFrame, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
+    """search() over a written index: docs (doc, and search_docs()' columns), postings_ (doc, field, term, pos) ordered by term.
+
+    Only postings whose word lies between a term's shortest beginning and the next one are read, which the
+    stored table's statistics prune; texts are fetched for the documents that hold all terms alone. Scores
+    are those of search().
+    """
+    spark = docs.sparkSession
+    terms = query_terms(spark, query)
+    empty = "rank int, logical_id string, type string, level int, score double"
+    if not terms:
+        return spark.createDataFrame([], empty)
+    first = [t.split(" ")[0] for t in terms]
+    stems = [f[: max(SHORTEST_BEGIN, len(f) - LEVELS + 1)] if len(f) >= T.SHORTEST_STEM and " " not in t else f for t, f in zip(terms, first)]
+    near = F.lit(False)
+    for x in stems:
+        near = near | ((F.col("term") >= x) & (F.col("term") < x + chr(0x10FFFF)))
+    level = lambda t: _level(F.array("term"), t) if " " not in t else F.when(F.col("term") == t.split(" ")[0], 0)
+    each = postings_.where(near).groupBy("doc").agg(*[c for i, (t, x) in enumerate(zip(terms, stems)) for c in (F.min(level(t)).alias(f"l{i}"), F.count(F.when(F.col("term").startswith(x), 1)).cast("double").alias(f"tf{i}"))])
+    each = settle(each)
+    totals = {"words": postings_.count(), "n": docs.count()}
+    spaced = F.concat(F.lit(" "), F.array_join(F.concat(T.terms(F.coalesce("display_name", F.lit(""))), T.terms(F.coalesce("description", F.lit("")))), " "), F.lit(" "))
+    phrases = [i for i, t in enumerate(terms) if " " in t]
+    if phrases:  # a phrase counts where its ideographs follow one another
+        texts = each.join(docs.select("doc", spaced.alias("_text")), "doc")
+        each = settle(texts.select("doc", *[c for i in range(len(terms)) for c in (F.when(F.col("_text").contains(f" {terms[i]} "), F.col(f"l{i}")).alias(f"l{i}") if i in phrases else F.col(f"l{i}"), F.col(f"tf{i}"))]))
+    found = each.agg(*[F.count(f"l{i}").alias(f"df{i}") for i in range(len(terms))]).first()
+    every = F.lit(True)
+    for i in range(len(terms)):
+        every = every & F.col(f"l{i}").isNotNull()
+    held = each.where(every).join(docs if kind is None else docs.where(F.col("type") == kind), "doc")
+    size = F.size(T.terms(F.coalesce("display_name", F.lit("")))) + F.size(T.terms(F.coalesce("description", F.lit(""))))
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = math.log(1 + (totals["n"] - found[f"df{i}"] + 0.5) / (found[f"df{i}"] + 0.5))
+        tf = F.col(f"tf{i}")
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(totals["words"] / max(1, totals["n"]) or 1.0)))
+    ranked = held.withColumn("level", F.greatest(*[F.col(f"l{i}") for i in range(len(terms))], F.lit(0))).withColumn("score", score)
+    return _ranked(ranked, limit)
+
+
+def _ranked(found: DataFrame, limit: int) -> DataFrame:
+    """(rank, logical_id, type, level, score) of matches: the strictest level of each identity, own words behind texts, scaffolding last, families interleaved."""
+    best = found.groupBy("logical_id", "type").agg(F.min(F.struct("level", (F.col("locale") == "").alias("own"), (-F.col("score")).alias("less"))).alias("b"))
+    top = best.orderBy(T.is_scaffolding(F.col("logical_id")), "b", "logical_id", "type").limit(max(10 * limit, 100))
+    rows = [r.asDict() for r in top.select("logical_id", "type", F.col("b.level").alias("level"), (-F.col("b.less")).alias("score")).collect()]
+    data = [(i, r["logical_id"], r["type"], r["level"], r["score"]) for i, r in enumerate(interleave(rows, _family)[:limit])]
+    return found.sparkSession.createDataFrame(data, "rank int, logical_id string, type string, level int, score double")
 
 
 def _family(r: dict) -> str:
@@ -225,8 +269,20 @@ def search_texts(lang_keys: DataFrame, query: str) -> DataFrame:
 
 
 def recall(results: DataFrame, cases: DataFrame, at: int = 5) -> DataFrame:
-    """(tier, n, passed) of search results (phrase, rank, logical_id) held against cases (phrase, tier, expected_any, must_not_rank_first)."""
+    """(tier, n, passed) of search results (phrase, rank, logical_id) held against cases (phrase, tier, expected_any[, expected_also, must_not_rank_first]).
+
+    A case passes if one of the expected names is among the first `at`, one of expected_also too where there
+    are any, and none of must_not_rank_first is the first. Cases that expect nothing are no cases.
+    """
+    none = F.array().cast("array<string>")
+    lists = {c: F.coalesce(c, none) if c in cases.columns else none for c in ("expected_also", "must_not_rank_first")}
     top = results.where(F.col("rank") < at).groupBy("phrase").agg(F.collect_set("logical_id").alias("ids"), F.min_by("logical_id", "rank").alias("first"))
-    j = cases.where(F.size("expected_any") > 0).join(top, "phrase", "left")
-    ok = F.coalesce(F.arrays_overlap("ids", "expected_any"), F.lit(False)) & ~F.coalesce(F.array_contains("must_not_rank_first", F.col("first")), F.lit(False))
+    j = cases.withColumns(lists).where(F.size("expected_any") > 0).join(top, "phrase", "left").withColumn("ids", F.coalesce("ids", none))
+    ok = F.arrays_overlap("ids", "expected_any") & ((F.size("expected_also") == 0) | F.arrays_overlap("ids", "expected_also")) & ~F.coalesce(F.array_contains("must_not_rank_first", F.col("first")), F.lit(False))
     return j.groupBy("tier").agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("passed"))
+
+
+def evaluate(docs: DataFrame, cases: DataFrame, at: int = 5) -> DataFrame:
+    """recall() of search_batch() over evaluation cases (phrase, tier, ...)."""
+    asked = cases.select("phrase").distinct().select(F.col("phrase").alias("query"), F.col("phrase").alias("text"))
+    return recall(search_batch(docs, asked, at).withColumnRenamed("query", "phrase"), cases, at)

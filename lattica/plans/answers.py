@@ -70,6 +70,10 @@ class Index:
     def indexed(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
+    def _has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
@@ -130,7 +134,10 @@ class Index:
 
     def search(self, query: str, limit: int = LIMITS["search"], kind: str | None = None) -> Result:
         c: list[str] = []
-        found = search.search(search.search_docs(self.assets, self.edges, self.lang_keys), query, limit + 1, kind)
+        if not self.overlay and self._has("postings"):
+            found = search.search_index(self.indexed("search_docs"), self.indexed("postings"), query, limit + 1, kind)
+        else:
+            found = search.search(search.search_docs(self.assets, self.edges, self.lang_keys), query, limit + 1, kind)
         n = found.count()
         if not n:
             return Result(self._cut(search.literal(self.assets, query).orderBy(F.desc("exact"), F.length("logical_id"), "logical_id", "type"), limit, c), ["names-not-values", "identifier-only", *c])

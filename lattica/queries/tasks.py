@@ -289,3 +289,13 @@ def agg04_inferred_enum(spark, d):
     s = s.withColumn("enum_values", F.when(F.col("reference_target").isNotNull(), F.array("reference_target")))
     return profile.inferred_enums(profile.field_stats(c), s).select("asset_type", "json_pointer", F.array_join("enum_values", "|").alias("enum_values"))
 
+
+
+@query(None)
+def op12_evaluate(spark, d):
+    """How many searches for the texts of every hundredth language key find an asset that has the text, by locale."""
+    a, e, k = _t(spark, d, "assets", "edges", "lang_keys")
+    docs = search.search_docs(a, e, k)
+    asked = k.where("id % 100 = 0").select(F.col("value").alias("phrase"), F.col("locale").alias("tier")).distinct()
+    holders = docs.where("locale != ''").select(F.explode(F.array("display_name", "description")).alias("phrase"), "logical_id").where("phrase != ''").groupBy("phrase").agg(F.collect_set("logical_id").alias("expected_any"))
+    return search.evaluate(docs, asked.join(holders, "phrase"))

@@ -152,3 +152,30 @@ def test_orders_and_folders(spark):
     df = spark.createDataFrame([(["10", "9", " 1e1\t"], "a/b/c.x", "a/b/d.x"), (["10", "9", "x"], "a/b", "c/d"), ([], "a/b/c", "a/b/c")], "v array<string>, f string, l string")
     got = [(list(r[0]), r[1]) for r in df.select(answers.numeric_order(F.col("v")), answers.shared_folder_of(F.col("f"), F.col("l"))).collect()]
     assert got == [(["9", " 1e1\t", "10"], "a/b/"), (["10", "9", "x"], ""), ([], "a/b/")]
+
+
+def test_search_reads_its_index_as_it_reads_texts(spark, tmp_path):
+    from lattica.operators import search
+    from lattica.session import numbered
+
+    d = "/root/testdata/sf0.001"
+    a, e, k = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("assets", "edges", "lang_keys"))
+    docs = numbered(search.search_docs(a, e, k), "doc")
+    search.postings(docs, ["doc"], ["display_name", "description"]).repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(str(tmp_path / "postings"))
+    p = spark.read.parquet(str(tmp_path / "postings"))
+    texts = [r[0] for r in k.where("locale in ('en-US', 'zh-CN', 'uk-UA')").select("value").distinct().orderBy("value").limit(6).collect()]
+    for query in ["lantern", "crooked lanterns", "", "zzzz", *texts]:
+        want = [(r.rank, r.logical_id, r.type, r.level, round(r.score, 6)) for r in search.search(docs.drop("doc"), query).collect()]
+        got = [(r.rank, r.logical_id, r.type, r.level, round(r.score, 6)) for r in search.search_index(docs, p, query).collect()]
+        assert got == want, query
+    plan = search.postings(docs, ["doc"], ["display_name"])  # the written table's filter reaches its scan
+    assert plan.count() > 0
+    assert "GreaterThanOrEqual(term,lant)" in p.where("term >= 'lant' and term < 'lanu'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall_rules(spark):
+    from lattica.operators import search
+
+    results = spark.createDataFrame([("p", 0, "A"), ("p", 1, "B"), ("q", 0, "Noise"), ("q", 1, "C"), ("r", 5, "D")], "phrase string, rank int, logical_id string")
+    cases = spark.createDataFrame([("p", "t", ["B"], ["A"], None), ("p", "t", ["B"], ["Z"], None), ("q", "u", ["C"], None, ["Noise"]), ("r", "v", ["D"], None, None), ("s", "w", [], None, None)], "phrase string, tier string, expected_any array<string>, expected_also array<string>, must_not_rank_first array<string>")
+    assert {tuple(r) for r in search.recall(results, cases).collect()} == {("t", 2, 1), ("u", 1, 0), ("v", 1, 0)}
