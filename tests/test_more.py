@@ -179,3 +179,12 @@ def test_recall_rules(spark):
     results = spark.createDataFrame([("p", 0, "A"), ("p", 1, "B"), ("q", 0, "Noise"), ("q", 1, "C"), ("r", 5, "D")], "phrase string, rank int, logical_id string")
     cases = spark.createDataFrame([("p", "t", ["B"], ["A"], None), ("p", "t", ["B"], ["Z"], None), ("q", "u", ["C"], None, ["Noise"]), ("r", "v", ["D"], None, None), ("s", "w", [], None, None)], "phrase string, tier string, expected_any array<string>, expected_also array<string>, must_not_rank_first array<string>")
     assert {tuple(r) for r in search.recall(results, cases).collect()} == {("t", 2, 1), ("u", 1, 0), ("v", 1, 0)}
+
+
+def test_render(spark):
+    from lattica.plans.render import render
+
+    rows = spark.createDataFrame([("a\nb", 1234, True, None), ("x" * 80, 5, False, ["p", "q"])], "name string, n long, ok boolean, l array<string>")
+    text = render(answers.Result(rows, ["shadowed"]))
+    assert text.splitlines()[0].split() == ["name", "n", "ok", "l"] and "a b" in text and "1,234  yes  -" in text and "…" in text and "p, q" in text and "! shadowed: several" in text
+    assert "! truncated" in render(answers.Result(rows), 1) and render(answers.Result(rows.limit(0))) == "(nothing)\n"
