@@ -24,24 +24,28 @@ SHARDS_PER_TASK, MOST_TASKS = 12, 20_000
 HELD_BACK = (0.0, 0.03, 0.2)
 #: Kinds of windows that one call fills.
 MOST_WINDOWS = 1000
-#: Where the public tokenizers' vocabularies lie, and the one for texts in many languages.
+#: Where the public tokenizers' vocabularies lie on the driver, unless the session's option says otherwise, and the one for texts in many languages.
+OPTION = "spark.lattica.tokenizers"
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level vocabularies of this kind cut a text before merging
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens) of documents (doc_id, text), in tokens of a byte-level vocabulary in a folder that all executors see.
+def token_counts(documents: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, tokens) of documents (doc_id, text), in tokens of a byte-level vocabulary in a folder of the driver, which is sent to all executors.
 
-    Whole texts; null and empty ones have no tokens. A map without a shuffle.
+    folder: by default what the session's option names. Whole texts; null and empty ones have no tokens. A
+    map without a shuffle.
     """
-    path = os.path.join(folder, vocabulary)
+    spark = documents.sparkSession
+    spark.sparkContext.addFile(os.path.join(folder or spark.conf.get(OPTION, TOKENIZERS), vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for pdf in batches:
