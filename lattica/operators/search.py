@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
@@ -78,16 +78,18 @@ def _level(words: Column, term: str) -> Column:
 def matches(docs: DataFrame, columns: list[str], terms: list[str], widen: bool = False) -> DataFrame:
     """docs in which all terms occur (with widen: any), with level, the letters cut off at most, and a bm25 score.
 
-    The terms may stand in different columns of a row. A scan without shuffle but for two single-row
-    aggregates; equal scores are the caller's to order.
+    The terms may stand in different columns of a row. One scan without a shuffle, whose matches are settled
+    and which counts as it goes; equal scores are the caller's to order.
     """
     words = docs.withColumn("_words", F.concat(*[T.terms(F.coalesce(F.col(c), F.lit(""))) for c in columns]))
     levels = [_level(F.col("_words"), t) for t in terms]
     hit = words.withColumn("_levels", F.array(*levels) if levels else F.array().cast("array<int>"))
     some = F.exists("_levels", lambda x: x.isNotNull())
     every = ~F.exists("_levels", lambda x: x.isNull())
-    found = hit.where(some if widen else every & (F.size("_levels") > 0))
-    stats = hit.agg(F.count("*").alias("n"), F.avg(F.size("_words")).alias("avg"), *[F.count(F.col("_levels")[i]).alias(f"df{i}") for i in range(len(terms))]).first() if terms else None
+    stats = Observation()  # the collection's numbers are taken while its rows pass by
+    seen = hit.observe(stats, F.count(F.lit(1)).alias("n"), F.avg(F.size("_words")).alias("avg"), *[F.count(F.col("_levels")[i]).alias(f"df{i}") for i in range(len(terms))])
+    found = settle(seen.where(some if widen else every & (F.size("_levels") > 0)))
+    stats = stats.get
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         stem = t[: max(T.SHORTEST_STEM - 1, len(t) - LEVELS + 1)] if len(t) >= T.SHORTEST_STEM and " " not in t else t.split(" ")[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -262,14 +264,10 @@ def agg05_broken_refs(spark, d):
     there = a.select(F.col("logical_id").alias("raw_value"), F.col("type").alias("reference_target")).distinct()
     hits = leaf.join(broken, ["asset_id", "json_pointer", "raw_value"], "left_semi").join(declared, ["asset_type", "field"]).join(there, ["raw_value", "reference_target"], "left_anti")
     g = hits.groupBy("asset_type", "field", "raw_value").agg(F.countDistinct("asset_id", "json_pointer").alias("n"))
-    w = Window.partitionBy("asset_type", "field")
-    return (
-        g.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "raw_value")))
-        .withColumn("total", F.sum("n").over(w))
-        .withColumn("distinct_values", F.count("*").over(w))
-        .where("k <= 8")
-        .select("asset_type", "field", "raw_value", "n", "total", "distinct_values")
-    )
+    totals = g.groupBy("asset_type", "field").agg(F.sum("n").alias("total"), F.count("*").alias("distinct_values"))
+    # the rank stands alone, so that each task keeps only eight rows of a field before the shuffle
+    first = g.withColumn("k", F.row_number().over(Window.partitionBy("asset_type", "field").orderBy(F.desc("n"), "raw_value"))).where("k <= 8")
+    return first.join(totals, ["asset_type", "field"]).select("asset_type", "field", "raw_value", "n", "total", "distinct_values")
 
 
 @query("WITH f AS (SELECT asset_type type, count(*) n_fields FROM schema_fields WHERE json_pointer <> '' GROUP BY 1) SELECT a.type, count(DISTINCT a.logical_id) n_assets, min(a.path) first_path, max(a.path) last_path, coalesce(any_value(f.n_fields), 0) n_fields FROM assets a LEFT JOIN f ON f.type = a.type WHERE a.type IS NOT NULL GROUP BY a.type")
@@ -291,10 +289,9 @@ def agg08_status(spark, d):
         e.agg(F.countDistinct("id").alias("edges")),
         k.agg(F.countDistinct("locale").alias("locales")),
     ]
-    out = parts[0].withColumn("one", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("one", F.lit(1)), "one")
-    return out.select("assets", "typed", "declared", "observed", "joined", "edges", "locales", "epoch")
+    named = [p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("long").alias("n")) for c in p.columns])).alias("x")).select("x.*") for p in parts]
+    wanted = ["assets", "typed", "declared", "observed", "joined", "edges", "locales", "epoch"]
+    return reduce(DataFrame.unionByName, named).groupBy().pivot("what", wanted).agg(F.first("n"))
 
 
 @query("SELECT logical_id token, count(DISTINCT id) n_assets, string_agg(DISTINCT type, ',' ORDER BY type) types, coalesce(any_value(v.n), 0) n_values, coalesce(any_value(e.n), 0) n_edges FROM assets LEFT JOIN (SELECT raw_value, count(DISTINCT id) n FROM candidates GROUP BY 1) v ON v.raw_value = logical_id LEFT JOIN (SELECT a.logical_id t, count(DISTINCT e.id) n FROM edges e JOIN assets a ON a.id = e.dst WHERE e.dst_kind = 'asset' GROUP BY 1) e ON e.t = logical_id GROUP BY logical_id")
