@@ -92,12 +92,14 @@ def fit(documents: DataFrame, sample_documents: int = 4000, longest_chars: int =
     knows nothing; ValueError if there are labelled rows but the sample got none of them.
     """
     language = label_language(F.col("label"))
+    labelled = documents.where(language.isNotNull()).count()
+    share = min(1.0, sample_documents / max(1, labelled))
     usable = documents.where(language.isNotNull() & (F.length("text") <= longest_chars))
-    there = usable.select(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    share = min(1.0, sample_documents / max(1, there["n"]), most_chars / max(1, there["chars"] or 0))
-    rows = usable.where(_below(share)).select("text", language.alias("l")).limit(2 * sample_documents).collect()
-    if not rows and there["n"]:
-        raise ValueError(f"none of {there['n']} labelled texts is in the sample: raise sample_documents or most_chars")
+    sample = settle(usable.where(_below(share)).select("doc_id", "text", language.alias("l")).limit(2 * sample_documents))
+    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = sample.where(_below(share * min(1.0, most_chars / max(1, chars)))).select("text", "l").collect()
+    if labelled and not rows:
+        raise ValueError(f"none of {labelled} labelled texts is in the sample: raise sample_documents, longest_chars or most_chars")
     counts = [Counter() for _ in CODES]
     for r in rows:
         counts[CODES.index(r["l"])].update(t for t in tokens(r["text"]) if not is_end(t))
