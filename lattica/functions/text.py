@@ -124,6 +124,7 @@ def terms(text: Column) -> Column:
 def expand_identifier(text: Column) -> Column:
     """The words of identifiers: parts between other characters, and those at changes of case, in order, once each; parts of one letter are dropped."""
     words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    # Fixed value: where an identifier's words meet, as the index has always cut them
     cut = r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
     parts = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(F.split(w, cut), lambda x: F.length(x) > 1))))
     return F.array_distinct(parts)

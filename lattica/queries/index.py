@@ -43,12 +43,12 @@ _CONVENTION = "json_pointer GLOB '*Id' OR json_pointer GLOB '*/Set' OR json_poin
 _E1 = "SELECT DISTINCT c.asset_id src, t.id dst, 'asset' dst_kind, 'INHERITS_FROM' kind, c.json_pointer, 'high' confidence FROM c JOIN a s ON s.id = c.asset_id JOIN a t ON t.logical_id = c.raw_value AND t.type = s.type AND t.is_effective WHERE c.json_pointer = '/Parent' AND t.id <> c.asset_id"
 _E2 = "SELECT DISTINCT c.asset_id src, l.id dst, 'lang_key' dst_kind, 'LOCALIZED_BY' kind, c.json_pointer, 'high' confidence FROM c JOIN lang_keys l ON l.root || '.' || l.key = c.raw_value WHERE c.raw_value LIKE '%.%.%' AND l.locale = 'en-US'"
 _E3 = "SELECT DISTINCT c.asset_id src, f.id dst, 'file' dst_kind, 'REFERENCES_FILE' kind, c.json_pointer, 'high' confidence FROM c JOIN files f ON f.path = 'Common/' || c.raw_value WHERE c.raw_value LIKE '%.%' AND c.raw_value NOT LIKE '% %'"
-_E4 = "SELECT DISTINCT c.asset_id src, t.id dst, 'asset' dst_kind, 'REFERENCES' kind, c.json_pointer, 'high' confidence FROM c JOIN a s ON s.id = c.asset_id JOIN sf ON sf.asset_type = s.type AND sf.json_pointer = c.schema_pointer JOIN a t ON t.logical_id = c.raw_value AND t.type = sf.reference_target AND t.is_effective WHERE c.json_pointer <> '/Parent' AND t.id <> c.asset_id"
-_E5 = f"SELECT DISTINCT c.asset_id src, t.id dst, 'asset' dst_kind, 'REFERENCES' kind, c.json_pointer, CASE WHEN {_CONVENTION} THEN 'medium' ELSE 'low' END confidence FROM c JOIN a s ON s.id = c.asset_id JOIN a t ON t.logical_id = c.raw_value AND t.is_effective WHERE c.json_pointer <> '/Parent' AND t.id <> c.asset_id AND NOT EXISTS (SELECT 1 FROM sf WHERE sf.asset_type = s.type AND sf.json_pointer = c.schema_pointer)".replace(
-    "json_pointer GLOB", "c.json_pointer GLOB"
-)
+# fields with their asset's type and, where one is declared, the type they refer to
+_FIELDS = "(SELECT c.*, s.type own, sf.reference_target wanted FROM c JOIN a s ON s.id = c.asset_id LEFT JOIN sf ON sf.asset_type = s.type AND sf.json_pointer = c.schema_pointer)"
+_E4 = f"SELECT DISTINCT f.asset_id src, t.id dst, 'asset' dst_kind, 'REFERENCES' kind, f.json_pointer, 'high' confidence FROM a t JOIN {_FIELDS} f ON (f.raw_value, f.wanted) = (t.logical_id, t.type) WHERE t.is_effective AND f.asset_id <> t.id AND f.json_pointer <> '/Parent'"
+_E5 = f"SELECT DISTINCT f.asset_id src, t.id dst, 'asset' dst_kind, 'REFERENCES' kind, f.json_pointer, CASE WHEN {_CONVENTION.replace('json_pointer GLOB', 'f.json_pointer GLOB')} THEN 'medium' ELSE 'low' END confidence FROM a t JOIN {_FIELDS} f ON f.raw_value = t.logical_id WHERE f.wanted IS NULL AND t.is_effective AND f.asset_id <> t.id AND f.json_pointer <> '/Parent'"
 _E = f"{_C}, e AS ({_E1} UNION ALL {_E2} UNION ALL {_E3} UNION ALL {_E4} UNION ALL {_E5})"
-_BROKEN = "SELECT DISTINCT c.asset_id, c.json_pointer, c.raw_value, sf.reference_target FROM c JOIN a s ON s.id = c.asset_id JOIN sf ON sf.asset_type = s.type AND sf.json_pointer = c.schema_pointer WHERE NOT EXISTS (SELECT 1 FROM a t WHERE t.logical_id = c.raw_value AND t.type = sf.reference_target)"
+_BROKEN = f"SELECT DISTINCT f.asset_id, f.json_pointer, f.raw_value, f.wanted reference_target FROM {_FIELDS} f ANTI JOIN a t ON t.logical_id = f.raw_value AND t.type = f.wanted WHERE f.wanted IS NOT NULL"
 _CONTRA = "bad AS (SELECT DISTINCT e.src, e.dst, e.json_pointer FROM e JOIN leaf c ON c.asset_id = e.src AND c.json_pointer = e.json_pointer JOIN sf ON sf.asset_type = c.schema_scope AND sf.json_pointer = c.schema_pointer JOIN a d ON d.id = e.dst WHERE e.dst_kind = 'asset' AND d.type <> sf.reference_target AND EXISTS (SELECT 1 FROM a t WHERE t.logical_id = d.logical_id AND t.type = sf.reference_target))"
 
 
